@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, sharding
+from . import bpe, chat, decontam, sharding
 from .common import table
 
 
@@ -37,10 +37,15 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.expand(rows))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest(decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_bpe": op3_bpe,
     "op7_chat_formatting": op7_chat_formatting,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {

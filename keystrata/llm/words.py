@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 U = np.uint64
 
@@ -128,3 +131,48 @@ def inside_runs(bounds: np.ndarray, k: int) -> np.ndarray:
     total = int(counts.sum())
     base = np.repeat(bounds[:-1] - (np.cumsum(counts) - counts), counts)
     return base + np.arange(total)
+
+
+def cut_text(data: bytes, starts: list[int], ends: list[int], spans: list[tuple[int, int]]) -> bytes:
+    """A text without spans of its words; what stands between the words of a span goes with them."""
+    out, at = [], 0
+    for a, b in spans:
+        out.append(data[at : starts[a]])
+        at = ends[b - 1]
+    return b"".join([*out, data[at:]])
+
+
+def cut_spans(found: DataFrame, separators: bytes, schema: StructType) -> DataFrame:
+    """Rows of the given schema from rows that also have spans (of words, in order, apart). Texts
+    that lose all their words go as rows; rows without spans stay as they are; n_chars, where there
+    is such a column, follows the text."""
+    columns = schema.names
+
+    def run(batches):
+        splitter = Splitter(separators, fold=False)
+        for batch in batches:
+            spans = batch.column("spans")
+            some = pa.compute.greater(pa.compute.list_value_length(spans).fill_null(0), 0)
+            at = np.flatnonzero(some.to_numpy(zero_copy_only=False))
+            texts, keep = None, np.ones(batch.num_rows, dtype=bool)
+            if len(at):
+                picked = batch.column("text").take(pa.array(at))
+                rows = picked.to_pylist()
+                texts = batch.column("text").to_pylist()
+                for i, text, cut in zip(at.tolist(), rows, spans.take(pa.array(at)).to_pylist()):
+                    w = splitter.split(pa.array([text]))
+                    data = cut_text(text.encode(), w.starts.tolist(), w.ends.tolist(), [(s["start"], s["end"]) for s in cut])
+                    texts[i] = data.decode()
+                    keep[i] = sum(s["end"] - s["start"] for s in cut) < len(w.hashes)
+            new = {}
+            if texts is not None:
+                new["text"] = pa.array(texts, batch.schema.field("text").type)
+                if "n_chars" in columns:
+                    sizes = batch.column("n_chars").to_pylist()
+                    for i in at.tolist():
+                        sizes[i] = len(texts[i])
+                    new["n_chars"] = pa.array(sizes, batch.schema.field("n_chars").type)
+            out = pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in columns], columns)
+            yield out.filter(pa.array(keep)) if not keep.all() else out
+
+    return found.mapInArrow(run, schema)
