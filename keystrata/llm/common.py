@@ -42,12 +42,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base}/keystrata-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write df once to shared storage and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
+def store(df: DataFrame) -> str:
+    """Write df once to shared storage: cuts lineage, survives lost executors."""
+    path = shared_dir(df.sparkSession)
     df.write.mode("error").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Store df and read it back."""
+    return df.sparkSession.read.schema(df.schema).parquet(store(df))
+
+
+def erase(spark: SparkSession, *paths: str) -> None:
+    """Delete stored frames that no later step reads."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def release(spark: SparkSession) -> None:
