@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, sharding, substring
+from . import bpe, chat, decontam, jaccard, sharding, substring
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.read_spec(vocabulary()))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).drop("row_key")
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
@@ -48,6 +52,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_bpe": op3_bpe,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_chat_formatting": op7_chat_formatting,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
