@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import settle, ship_by_value
+from .common import received, send, settle, ship_by_value
 from .fmindex import FMIndex
 
 WINDOW = 13
@@ -116,13 +116,13 @@ def _shards(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordB
 
 def _search_block(docs: DataFrame, patterns: Patterns, text: str) -> DataFrame:
     """Adds a block's hits to the columns n_words, spans and items."""
-    shared = docs.sparkSession.sparkContext.broadcast(patterns)
+    shared = send(docs.sparkSession, patterns)
 
     def run(batches):
-        splitter = words.Splitter(words.NOT_ALNUM, fold=True)
+        splitter, patterns = words.Splitter(words.NOT_ALNUM, fold=True), received(shared)
         for batch in _shards(batches, text):
             split = splitter.split(batch.column(text))
-            hit, pairs = search_shard(split, shared.value)
+            hit, pairs = search_shard(split, patterns)
             for spans, (a, b) in zip(batch.column("spans").to_pylist(), zip(split.bounds, split.bounds[1:])):
                 for s in spans or ():
                     hit[a + s["start"] : a + s["end"]] = True

@@ -95,8 +95,15 @@ class Words:
         sums = splitter.value[self.data]
         sums *= splitter.up[:n]
         np.cumsum(sums, out=sums)
-        before = np.where(self.starts > 0, sums[self.starts - 1], U(0))
-        self.hashes = mix((sums[self.ends - 1] - before) * splitter.down[self.starts])
+        self._sums, self._down = sums, splitter.down
+        self.hashes = self.part_hashes(self.starts, self.ends)
+
+    def part_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of any non-empty stretches of bytes; of a whole word, the word's."""
+        if not len(starts):
+            return np.zeros(0, dtype=U)
+        before = np.where(starts > 0, self._sums[starts - 1], U(0))
+        return mix((self._sums[ends - 1] - before) * self._down[starts])
 
     @property
     def counts(self) -> np.ndarray:
