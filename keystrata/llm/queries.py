@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontam, jaccard, quality, sharding, substring, toxicity
+from . import ann, bpe, chat, decontam, jaccard, lm, quality, sharding, substring, toxicity
 from .common import remainder, table
 
 
@@ -22,6 +22,12 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = lm.score(docs, lm.training_part(docs, divisor=7, held=2))
+    return found.withColumn("held_out", remainder("doc_id", 7) == 2)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=8)
 
@@ -67,6 +73,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_sharding": op2_sharding,
     "op3_bpe": op3_bpe,
     "op4_quality": op4_quality,
