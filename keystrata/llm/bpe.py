@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks, ship_by_value
+from .common import chunks, prepare
 
 #: Fixed values of byte-level BPE: the pattern that splits texts before the merges.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -234,7 +234,7 @@ def _encoded(batches, spec: str, text: str) -> Iterator[tuple[pa.RecordBatch, Co
 
 def encode(docs: DataFrame, spec: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids array<int>) of each row."""
-    ship_by_value()
+    prepare(docs)
 
     def run(batches):
         for batch, _, ids, ends in _encoded(batches, spec, text):
@@ -246,7 +246,7 @@ def encode(docs: DataFrame, spec: str, key: str = "doc_id", text: str = "text")
 
 def decode(encoded: DataFrame, spec: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(key, text) of each row of ids; null ids give an empty text."""
-    ship_by_value()
+    prepare(encoded)
 
     def run(batches):
         codec = Codec(spec)
@@ -260,7 +260,7 @@ def decode(encoded: DataFrame, spec: str, key: str = "doc_id", ids: str = "ids")
 
 def round_trip(docs: DataFrame, spec: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256): encodes, decodes the ids, and digests both."""
-    ship_by_value()
+    prepare(docs)
 
     def run(batches):
         for batch, codec, ids, ends in _encoded(batches, spec, text):

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python step works on at once; longer texts are taken alone.
 CHUNK_BYTES = 1 << 20
+#: Rows and bytes of an Arrow batch at most.
+BATCH_ROWS, BATCH_BYTES = 500, "4m"
+#: Setting by which Spark deletes a query's shuffle files when the query ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship_by_value() -> None:
@@ -23,6 +27,17 @@ def ship_by_value() -> None:
     cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
 
+def prepare(frame: DataFrame) -> None:
+    """Before Python steps over texts: ship the code, and keep Arrow batches to few rows, as a batch is
+    held by the JVM and by Python at once and its rows may be long."""
+    ship_by_value()
+    conf = frame.sparkSession.conf
+    now = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < now <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def send(spark: SparkSession, value) -> Broadcast:
     """A broadcast of an object of this subpackage, classes included; received() unpacks it."""
     ship_by_value()
@@ -54,9 +69,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def store(df: DataFrame) -> str:
-    """Write df once to shared storage: cuts lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.mode("error").parquet(path)
+    """Write df once to shared storage: cuts lineage, survives lost executors. What it shuffled is not
+    needed afterwards and is deleted."""
+    path, conf = shared_dir(df.sparkSession), df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP, "false")
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.mode("error").parquet(path)
+    finally:
+        conf.set(SHUFFLE_CLEANUP, before)
     return path
 
 

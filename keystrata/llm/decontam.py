@@ -15,15 +15,13 @@ of items count as -1; clashing extra columns are ignored; empty tables give clea
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import received, send, settle, ship_by_value
+from .common import chunks, received, send, settle, prepare
 from .fmindex import FMIndex
 
 WINDOW = 13
@@ -102,25 +100,13 @@ def search_shard(split: words.Words, patterns: Patterns) -> tuple[np.ndarray, li
     return np.cumsum(depth[:-1]) > 0, sorted(pairs)
 
 
-def merged(mask: np.ndarray) -> list[dict]:
-    """Runs of True as spans."""
-    edges = np.diff(np.concatenate(([0], mask.view(np.int8), [0])))
-    return [{"start": a, "end": b} for a, b in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist())]
-
-
-def _shards(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    from .common import chunks
-
-    return chunks(batches, text, SHARD_BYTES)
-
-
 def _search_block(docs: DataFrame, patterns: Patterns, text: str) -> DataFrame:
     """Adds a block's hits to the columns n_words, spans and items."""
     shared = send(docs.sparkSession, patterns)
 
     def run(batches):
         splitter, patterns = words.Splitter(words.NOT_ALNUM, fold=True), received(shared)
-        for batch in _shards(batches, text):
+        for batch in chunks(batches, text, SHARD_BYTES):
             split = splitter.split(batch.column(text))
             hit, pairs = search_shard(split, patterns)
             for spans, (a, b) in zip(batch.column("spans").to_pylist(), zip(split.bounds, split.bounds[1:])):
@@ -130,7 +116,7 @@ def _search_block(docs: DataFrame, patterns: Patterns, text: str) -> DataFrame:
             for t, i in pairs:
                 items[t].add(i)
             some = np.add.reduceat(np.append(hit, False).astype(np.int64), split.bounds[:-1]) if len(hit) else np.zeros(len(items))
-            spans = [merged(hit[a:b]) if k and b > a else [] for k, a, b in zip(some.tolist(), split.bounds.tolist(), split.bounds[1:].tolist())]
+            spans = [words.merged(hit[a:b]) if k and b > a else [] for k, a, b in zip(some.tolist(), split.bounds.tolist(), split.bounds[1:].tolist())]
             new = {"n_words": pa.array(split.counts, pa.int64()), "spans": pa.array(spans, batch.schema.field("spans").type), "items": pa.array([sorted(x) for x in items], pa.list_(pa.int64()))}
             yield pa.RecordBatch.from_arrays([new.get(f.name, batch.column(i)) for i, f in enumerate(batch.schema)], batch.schema.names)
 
@@ -139,7 +125,7 @@ def _search_block(docs: DataFrame, patterns: Patterns, text: str) -> DataFrame:
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", keep: tuple[str, ...] = ("doc_id",), block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Columns keep (which may include the text), n_words, n_hit, spans (word positions) and items."""
-    ship_by_value()
+    prepare(docs)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
@@ -167,6 +153,6 @@ def digest(found: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Documents without the hit spans: from a span's first word to the end of its last. Documents of
     which nothing is left go; those without hits stay as they are. n_chars follows the text."""
-    ship_by_value()
+    prepare(docs)
     found = find(docs, benchmark, window, keep=tuple(docs.columns))
     return words.cut_spans(found, words.NOT_ALNUM, docs.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import chunks, erase, release, row_key, ship_by_value, store
+from .common import chunks, erase, release, row_key, prepare, store
 
 WINDOW, PHRASE = 35, 12
 #: Phrases of one automaton; a shard with more takes several, one after the other.
@@ -85,7 +85,7 @@ def _recurring(spark, path: str) -> DataFrame:
 
 def locate(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
     """Columns keep (with the text), n_words and spans (word positions covered by recurring windows)."""
-    ship_by_value()
+    prepare(docs)
     spark = docs.sparkSession
     keyed = docs.select(*keep, row_key("doc_id", "text").alias("row_key"))
 
@@ -113,7 +113,10 @@ def locate(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, keep: tu
     del candidates
     erase(spark, first)
     release(spark)
-    confirmed = _recurring(spark, second)
+    third = store(_recurring(spark, second))  # so that its shuffles are over before the texts move again
+    erase(spark, second)
+    release(spark)
+    confirmed = spark.read.parquet(third)
     found = keyed.join(confirmed, "row_key", "left").drop("row_key")
     return found.mapInArrow(_mark(window, [*keep]), docs.select(*keep).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.from_json(F.lit("[]"), "array<struct<start: int, end: int>>")}).schema)
 
@@ -165,8 +168,6 @@ def stream(split: words.Words, texts: np.ndarray, places: np.ndarray, window: in
 
 def _mark(window: int, keep: list[str]):
     def run(batches):
-        from .decontam import merged
-
         splitter = words.Splitter(words.WHITE, fold=False)
         for batch in chunks(batches, "text"):
             split = splitter.split(batch.column("text"))
@@ -181,7 +182,7 @@ def _mark(window: int, keep: list[str]):
                     _, one = np.unique(words.shingle_hashes(split.hashes, window)[places], return_index=True)
                     covered = stream(split, texts, places[one], window)
                     for t in texts.tolist():
-                        spans[t] = merged(covered[split.bounds[t] : split.bounds[t + 1]])
+                        spans[t] = words.merged(covered[split.bounds[t] : split.bounds[t + 1]])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(split.counts, pa.int64()), pa.array(spans, kind)], [*keep, "n_words", "spans"])
 
@@ -190,7 +191,7 @@ def _mark(window: int, keep: list[str]):
 
 def digest(found: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of located documents."""
-    ship_by_value()
+    prepare(found)
 
     def run(batches):
         for batch in batches:
@@ -210,5 +211,5 @@ def digest(found: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Documents without the covered words; those of which nothing is left go, the others without such
     words stay as they are. n_chars follows the text."""
-    ship_by_value()
+    prepare(docs)
     return words.cut_spans(locate(docs, window, keep=tuple(docs.columns)), words.WHITE, docs.schema)

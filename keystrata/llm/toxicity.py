@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import chunks, received, remainder, send, ship_by_value
+from .common import chunks, received, remainder, send, prepare
 
 TRAIN_ROWS = 20_000
 #: Weight of the prior as a share of all counts; least z-score and toxic documents of a significant part.
@@ -170,7 +170,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int =
 
 
 def fit(docs: DataFrame, labels: DataFrame, divisor: int = 4, held: int = 2, rows: int = TRAIN_ROWS) -> Model:
-    ship_by_value()
+    prepare(docs)
     train = training_rows(docs, labels, "toxic", divisor, held, rows)
     counts = _counts(train)
     model = Model()
@@ -225,7 +225,7 @@ def _evidence(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns keep, score, predicted, and the significant segments (word positions, scores)."""
-    ship_by_value()
+    prepare(docs)
     names = {c: f"keep_{i}" for i, c in enumerate(keep)}  # clear of the new columns' names
     rows = docs.select(*(F.col(c).alias(n) for c, n in names.items()), F.col("text").alias("text"))
     out = _evidence(rows, model, list(names.values()))
