@@ -24,6 +24,7 @@ gives an empty table.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import chunks, erase, release, row_key, ship_by_value, store
+from .common import chunks, erase, release, row_key, prepare, store
 from .components import components
 
 SHINGLE, SIMILAR = 5, (75, 100)
-SKETCH_BITS, SEGMENT_BITS = 21, 16
+SKETCH_BITS, SEGMENT_BITS = 24, 16
 GROUP = 256
 QUERIES_A_TASK = 512
 
@@ -67,30 +68,35 @@ def linked(overlap: int, a: int, b: int, similar=SIMILAR) -> bool:
 
 
 def sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """Number of documents by hashed token, over all documents: a table of fixed size."""
-    segments = 1 << (SKETCH_BITS - SEGMENT_BITS)
+    """Number of documents by hashed token, over all documents: a table of 2**SKETCH_BITS places, or a
+    smaller power of two for little text. A task's counts travel as bytes, so one that is over 255 in a
+    task stays there, and sums stay at 65,535; only the order of tokens hangs on them."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(SKETCH_BITS, max(SEGMENT_BITS, (size // 48).bit_length()))  # about eight tokens a place
+    segments = 1 << (bits - SEGMENT_BITS)
 
     def count(batches):
-        splitter, total = words.Splitter(words.WHITE, fold=True), np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        splitter, total = words.Splitter(words.WHITE, fold=True), np.zeros(1 << bits, dtype=np.uint32)
         for batch in chunks(batches, "text"):
             _, tokens = token_sets(splitter.split(batch.column("text")), k)
-            total += np.bincount((tokens >> words.U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        if total.any():
-            rows = np.minimum(total, 2**32 - 1).astype(np.uint32).reshape(segments, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(segments), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["segment", "counts"])
+            np.add.at(total, (tokens >> words.U(64 - bits)).astype(np.int64), 1)
+        for i, row in enumerate(total.reshape(segments, -1)):
+            if row.any():
+                packed = zlib.compress(np.minimum(row, 255).astype(np.uint8).tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([packed], pa.binary())], ["segment", "counts"])
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total[s] = total.get(s, 0) + np.frombuffer(c, dtype=np.uint32).astype(np.int64)
+                total[s] = total.get(s, 0) + np.frombuffer(zlib.decompress(c), dtype=np.uint8).astype(np.uint32)
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes() for x in total.values()], pa.binary())], ["segment", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(x, 65535).astype(np.uint16).tobytes() for x in total.values()], pa.binary())], ["segment", "counts"])
 
     schema = "segment int, counts binary"
-    out = np.zeros((segments, 1 << SEGMENT_BITS), dtype=np.uint32)
-    for s, c in docs.select("text").mapInArrow(count, schema).repartition(segments, "segment").mapInArrow(add, schema).collect():  # one row a segment
-        out[s] = np.frombuffer(c, dtype=np.uint32)
+    out = np.zeros((segments, 1 << SEGMENT_BITS), dtype=np.uint16)
+    for s, c in docs.select("text").mapInArrow(count, schema).repartition(min(segments, 64), "segment").mapInArrow(add, schema).collect():  # one row a segment
+        out[s] = np.frombuffer(c, dtype=np.uint16)
     return out.reshape(-1)
 
 
@@ -99,13 +105,14 @@ def signatures(docs: DataFrame, counts: np.ndarray, k: int, similar) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
-        splitter = words.Splitter(words.WHITE, fold=True)
+        splitter, held = words.Splitter(words.WHITE, fold=True), shared.value
+        shift = words.U(64 - (len(held).bit_length() - 1))
         for batch in chunks(batches, "text"):
             text, tokens = token_sets(splitter.split(batch.column("text")), k)
             bounds = np.searchsorted(text, np.arange(batch.num_rows + 1))
             n = np.diff(bounds)
             digests = [int.from_bytes(hashlib.blake2b(tokens[a:b].tobytes(), digest_size=8).digest(), "little", signed=True) for a, b in zip(bounds, bounds[1:])]
-            order = np.lexsort((tokens, shared.value[(tokens >> words.U(64 - SKETCH_BITS)).astype(np.int64)], text))
+            order = np.lexsort((tokens, held[(tokens >> shift).astype(np.int64)], text))
             size = np.where(n > 0, prefix_size(n, similar), 0)
             first = order[np.arange(len(text)) - bounds[text] < size[text]]
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(tokens[first].view(np.int64)))
@@ -159,23 +166,34 @@ def _open_groups(k: int, similar):
 
 def link_classes(docs: DataFrame, k: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> tuple[DataFrame, DataFrame]:
     """(signatures of all rows, links between classes that connect all components)."""
-    ship_by_value()
+    prepare(docs)
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", row_key("doc_id", "text").alias("row_key"))
-    signed = spark.read.parquet(store(signatures(docs, sketch(docs, k), k, similar)))
+    counts = sketch(docs, k)
+    release(spark)
+    full_path = store(signatures(docs, counts, k, similar))
+    signed = spark.read.parquet(full_path)
     classes = signed.where("n > 0").groupBy("class").agg(F.min("row_key").alias("row_key"))
     once = signed.join(classes, ["class", "row_key"]).dropDuplicates(["class"])
-    index = once.select("class", "n", F.posexplode("first").alias("pos", "token")).select("token", "class", "n", (F.col("n") - 1 - F.col("pos")).alias("rest"))
-    lists = index.groupBy("token").agg(F.count("*").alias("many"), F.min(F.struct(F.xxhash64("class").alias("h"), "class"))["class"].alias("centre")).where("many > 1").select("token", "centre")
-    shared_path = store(index.join(lists, "token"))
+    once_path = store(once.select("class", "n", "first"))
+    signed = spark.read.parquet(store(signed.drop("first")))
+    erase(spark, full_path)
+    classes = signed.where("n > 0").groupBy("class").agg(F.min("row_key").alias("row_key"))
+    release(spark)
+    once = spark.read.parquet(once_path)
+    often = once.select(F.explode("first").alias("token")).groupBy("token").count().where("count > 1").select("token")
+    index = once.select("class", F.posexplode("first").alias("pos", "token"), "n").select("token", "class", F.expr("shiftleft(bigint(n), 32) | (n - 1 - pos)").alias("sizes"))
+    shared_path = store(index.join(often, "token").select("token", "class", F.expr("int(shiftright(sizes, 32))").alias("n"), F.expr("int(sizes & 2147483647)").alias("rest")))
+    erase(spark, once_path)
     release(spark)
     shared = spark.read.parquet(shared_path)  # index rows of tokens with several classes
+    centres = shared.groupBy("token").agg(F.min(F.struct(F.xxhash64("class").alias("h"), "class"))["class"].alias("centre"))
     wanted = shared.select("class").distinct().join(classes, "class")
     text_path = store(docs.join(wanted, "row_key").dropDuplicates(["class"]).select("class", "text"))
     release(spark)
     texts = spark.read.parquet(text_path)
 
-    tied = shared.where("class <> centre").groupBy("class", "centre").agg(F.count("*").alias("hits"))
+    tied = shared.select("token", "class").join(centres, "token").where("class <> centre").groupBy("class", "centre").agg(F.count("*").alias("hits"))
     best = tied.groupBy("class").agg(F.max_by("centre", "hits").alias("centre"))  # grouping only: step 2 sees to the rest
     groups = best.select(F.col("centre").alias("group"), "class")
     first_path = store(verify(groups.select("group", F.col("group").alias("class")).distinct(), groups, texts, k, similar))
