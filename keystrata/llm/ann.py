@@ -39,7 +39,7 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """int8 rows, scale, norm of the quantised row, norm of its error (rounded up)."""
-    scale = np.abs(x).max(axis=1) / 127
+    scale = np.maximum(np.abs(x).max(axis=1) / 127, np.finfo(np.float64).tiny)
     q = np.rint(x / scale[:, None]).astype(np.int8)
     back = q * scale[:, None]
     return q, scale, np.linalg.norm(back, axis=1) * (1 + 1e-9), np.linalg.norm(x - back, axis=1) * (1 + 1e-9) + 1e-300

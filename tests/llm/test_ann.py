@@ -44,6 +44,11 @@ def test_bounds_hold():
     assert (np.abs(a @ b.T - near) <= (na + ea)[:, None] * eb + ea[:, None] * nb + 1e-12 * (1 + np.abs(near))).all()
 
 
+def test_vectors_near_the_smallest_number():
+    q, scale, norm, error = ann.quantise(np.array([[5e-324, 0.0], [1.0, 2.0]]))
+    assert (scale > 0).all() and np.isfinite(norm).all() and np.isfinite(error).all() and not q[0].any()
+
+
 def test_query(spark, sf_dir):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     assert sorted(map(tuple, op8_nearest_neighbours(spark, sf_dir).collect())) == brute(rows)
