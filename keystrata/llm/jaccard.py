@@ -5,7 +5,8 @@ rare ones first, by a counting sketch over all documents; two sets that link sha
 ``n - ceil(t n) + 1`` tokens of each, so the index holds only these.
 
 1. Groups. In each token's list the classes are tied to one centre; pairs are verified exactly, and the
-   connected ones form groups, split into parts of about ``GROUP`` classes.
+   connected ones form groups, split into parts of about ``GROUP`` classes. ``ROUNDS`` such rounds leave
+   fewer components in a list, and only these meet each other in step 2.
 2. Matrix. For token lists that still hold several components, (token, group) rows bound what a class
    can share with the members of a group of another component.
 3. Opening. A group that the bound leaves open is loaded as the union of its members' tokens; a query is
@@ -39,6 +40,8 @@ from .components import components
 SHINGLE, SIMILAR = 5, (75, 100)
 SKETCH_BITS, SEGMENT_BITS = 24, 16
 GROUP = 256
+#: Times that step 1 ties lists to a centre; later ones take it from the list's largest component.
+ROUNDS = 3
 QUERIES_A_TASK = 512
 
 
@@ -187,20 +190,25 @@ def link_classes(docs: DataFrame, k: int = SHINGLE, similar: tuple[int, int] = S
     erase(spark, once_path)
     release(spark)
     shared = spark.read.parquet(shared_path)  # index rows of tokens with several classes
-    centres = shared.groupBy("token").agg(F.min(F.struct(F.xxhash64("class").alias("h"), "class"))["class"].alias("centre"))
     wanted = shared.select("class").distinct().join(classes, "class")
     text_path = store(docs.join(wanted, "row_key").dropDuplicates(["class"]).select("class", "text"))
     release(spark)
     texts = spark.read.parquet(text_path)
 
-    tied = shared.select("token", "class").join(centres, "token").where("class <> centre").groupBy("class", "centre").agg(F.count("*").alias("hits"))
-    best = tied.groupBy("class").agg(F.max_by("centre", "hits").alias("centre"))  # grouping only: step 2 sees to the rest
-    groups = best.select(F.col("centre").alias("group"), "class")
-    first_path = store(verify(groups.select("group", F.col("group").alias("class")).distinct(), groups, texts, k, similar))
-    release(spark)
-    first = spark.read.parquet(first_path)
-    labels_path = store(components(first))
-    labels = spark.read.parquet(labels_path)
+    # grouping only, a link that it misses is found in step 2
+    rows = shared.select("token", "class", F.col("class").alias("component"), F.lit(1).cast("long").alias("size"))
+    first_paths: list[str] = []
+    for r in range(ROUNDS):
+        centre = F.max(F.struct("size", F.xxhash64("class", F.lit(r)).alias("h"), F.col("class").alias("centre"), F.col("component").alias("home")))
+        centres = rows.groupBy("token").agg(centre.alias("c")).select("token", "c.centre", "c.home")
+        tied = rows.join(centres, "token").where("component <> home").groupBy("class", "centre").agg(F.count("*").alias("hits"))
+        groups = tied.groupBy("class").agg(F.max_by("centre", "hits").alias("group")).select("group", "class")
+        first_paths.append(store(verify(groups.select("group", F.col("group").alias("class")).distinct(), groups, texts, k, similar)))
+        release(spark)
+        first = spark.read.parquet(*first_paths)
+        labels = spark.read.parquet(store(components(first)))
+        sized = labels.join(labels.groupBy("component").agg(F.count("*").alias("size")), "component").select(F.col("node").alias("class"), "component", "size")
+        rows = shared.select("token", "class").join(sized, "class", "left").select("token", "class", F.coalesce("component", "class").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
 
     parts = labels.groupBy("component").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"), F.count("*").alias("size"))
     grouped = labels.join(parts, "component").select(F.col("node").alias("class"), "component", "size", F.pmod(F.xxhash64("node", "component"), F.col("parts")).cast("int").alias("part"))
@@ -208,9 +216,10 @@ def link_classes(docs: DataFrame, k: int = SHINGLE, similar: tuple[int, int] = S
     mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
     placed_path = store(placed.join(mixed, "token"))
     placed = spark.read.parquet(placed_path)
-    matrix = placed.groupBy("token", F.col("component").alias("g"), F.col("part").alias("p")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("rest").alias("g_rest"), F.max("size").alias("size"))
+    matrix = placed.groupBy("token", F.col("component").alias("g"), F.col("part").alias("p")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("g_rest"), F.max("size").alias("size"))
     t, of = similar
-    pairs = placed.select("token", "class", "n", "rest", "component").join(matrix, "token").where(f"component < g and {t} * n <= {of} * most and {t} * least <= {of} * n")
+    # the first token that two sets share leaves both enough tokens behind it, so each linked pair has such a row
+    pairs = placed.select("token", "class", "n", "rest", "component").join(matrix, "token").where(f"component < g and {t} * n <= {of} * most and {t} * least <= {of} * n and {t + of} * (1 + least(rest, g_rest)) >= {t} * (n + least)")
     pairs = pairs.groupBy("class", "g", "p").agg(F.first("n").alias("n"), F.count("*").alias("hits"), F.min("rest").alias("rest"), F.min("g_rest").alias("g_rest"), F.max("least").alias("least"), F.max("size").alias("size"))
     # of a group of one, the tokens behind the last shared one bound what else can be shared
     asked_path = store(pairs.where(f"size > 1 or {t + of} * (hits + least(rest, g_rest)) >= {t} * (n + least)").select(F.struct("g", "p").alias("gp"), "class"))
@@ -223,7 +232,7 @@ def link_classes(docs: DataFrame, k: int = SHINGLE, similar: tuple[int, int] = S
     second_path = store(verify(members, queries, texts, k, similar))
     erase(spark, shared_path, placed_path, text_path, asked_path)
     release(spark)
-    return signed, spark.read.parquet(first_path).union(spark.read.parquet(second_path))
+    return signed, first.union(spark.read.parquet(second_path))
 
 
 def join(docs: DataFrame, k: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
