@@ -6,8 +6,8 @@ P(word | class), the latter from counts of all training tokens with one unseen w
 
 Counts cover the whole training corpus: words are counted once, and all class trigrams. A log-bilinear
 model (a context vector, made of one matrix row for each place, is multiplied with the class vectors) is
-trained on the trigram counts in numpy by noise-contrastive estimation. There are CLASSES**2 contexts, so
-batched matrix products give the normalised log-probabilities of all of them as one table of fixed size,
+trained on the trigram counts in numpy by noise-contrastive estimation; every step takes all counted
+trigrams, weighted by their counts, until the loss settles. There are CLASSES**2 contexts, so batched matrix products give the normalised log-probabilities of all of them as one table of fixed size,
 which is all that scoring needs of the model.
 
 Counts of the most frequent words (``HEAD`` of them at most) go to every task; a document's other words
@@ -34,7 +34,8 @@ WORDS, ENDINGS = 96, 30
 END = WORDS + ENDINGS  # the class of the end token; START stands before a text
 CLASSES, START = END + 1, END
 HEAD = 1 << 18
-DIMENSIONS, NOISE, BATCH, STEPS, RATE = 24, 10, 4096, 500, 0.08
+DIMENSIONS, NOISE, RATE = 24, 10, 0.08
+SETTLE_STEPS, SETTLED = 100, 3e-4
 
 
 def ending(split: words.Words) -> np.ndarray:
@@ -94,47 +95,51 @@ def contexts(split: words.Words, line: np.ndarray) -> np.ndarray:
     return two * CLASSES + one
 
 
-def train(trigrams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Normalised log10 P(class | context), one row a context, from trigram numbers and their counts."""
-    context, target = trigrams // CLASSES, trigrams % CLASSES
-    unigram = np.bincount(target, weights=counts, minlength=CLASSES) + 0.5
+def fit(trigrams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors of predicted classes and of classes two and one before, and biases. Each step takes every
+    trigram with its count, and NOISE times as many noise classes by their expected number, so that no
+    context is left to chance. Steps end when SETTLE_STEPS of them better the loss by less than SETTLED."""
+    unigram = np.bincount(trigrams % CLASSES, weights=counts, minlength=CLASSES) + 0.5
     noise = unigram / unigram.sum()
     random = np.random.default_rng(7)
     vectors = random.normal(scale=0.1, size=(CLASSES, DIMENSIONS))  # of predicted classes
     places = random.normal(scale=0.1, size=(2, CLASSES, DIMENSIONS))  # of classes two and one before
     bias = np.log(noise)
-    moments = [np.full(x.shape, 1e-8) for x in (vectors, places, bias)]
-    chances, drawn = np.cumsum(counts / counts.sum()) if len(counts) else None, np.cumsum(noise)
-    log_noise = np.log(NOISE * noise)
-    for step in range(STEPS if len(counts) else 0):
-        pick = np.minimum(np.searchsorted(chances, random.random(BATCH)), len(counts) - 1)
-        c, good = context[pick], target[pick]
-        before = (c // CLASSES, c % CLASSES)
-        ctx = places[0][before[0]] + places[1][before[1]]
-        bad = np.minimum(np.searchsorted(drawn, random.random(BATCH * NOISE)), CLASSES - 1).reshape(BATCH, NOISE)
-        tried = np.column_stack((good, bad))
-        logits = np.einsum("bd,bkd->bk", ctx, vectors[tried]) + bias[tried] - log_noise[tried]
-        error = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
-        error[:, 0] -= 1
-        error /= BATCH
-        # gradients per class by one-hot sums
-        grad_vectors, grad_bias = np.zeros_like(vectors), np.bincount(tried.ravel(), weights=error.ravel(), minlength=CLASSES)
-        pulled = (error[:, :, None] * ctx[:, None, :]).reshape(-1, DIMENSIONS)
-        spread = np.zeros_like(places)
-        pushed = np.einsum("bk,bkd->bd", error, vectors[tried])
-        for j in range(DIMENSIONS):
-            grad_vectors[:, j] = np.bincount(tried.ravel(), weights=pulled[:, j], minlength=CLASSES)
-            for p in (0, 1):
-                spread[p][:, j] = np.bincount(before[p], weights=pushed[:, j], minlength=CLASSES)
-        for x, g, m in zip((vectors, places, bias), (grad_vectors, spread, grad_bias), moments):
-            m += g * g
-            x -= RATE * (1 - step / STEPS) * g / np.sqrt(m)
+    if not len(counts):
+        return vectors, places, bias
+    good = np.zeros((CLASSES**2, CLASSES), dtype=np.float32)
+    np.add.at(good.reshape(-1), trigrams, counts / counts.sum())
+    both = good + NOISE * good.sum(axis=1, keepdims=True) * noise.astype(np.float32)
+    moments = [np.full(x.shape, 1e-20) for x in (vectors, places, bias)]
+    log_noise, losses = np.log(NOISE * noise), []
+    while True:
+        ctx = (places[0][:, None, :] + places[1][None, :, :]).reshape(-1, DIMENSIONS).astype(np.float32)
+        logits = np.clip(ctx @ vectors.T.astype(np.float32) + (bias - log_noise).astype(np.float32), -30, 30)
+        small = np.exp(-logits)
+        losses.append(float((both * (logits + np.log1p(small)) - good * logits).sum(dtype=np.float64)))
+        if len(losses) > SETTLE_STEPS and min(losses[:-SETTLE_STEPS]) - min(losses) < SETTLED * min(losses):
+            return vectors, places, bias
+        error = both / (1 + small) - good
+        pushed = (error @ vectors.astype(np.float32)).reshape(CLASSES, CLASSES, DIMENSIONS)
+        grads = error.T @ ctx, np.stack((pushed.sum(axis=1), pushed.sum(axis=0))), error.sum(axis=0)
+        for x, g, m in zip((vectors, places, bias), grads, moments):
+            m += g.astype(float) ** 2
+            x -= RATE * g / np.sqrt(m)
+
+
+def table_of(vectors: np.ndarray, places: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Normalised log10 P(class | context), one row a context."""
     contexts_ = (places[0][:, None, :] + places[1][None, :, :]).reshape(-1, DIMENSIONS)
     logits = contexts_ @ vectors.T + bias
     logits -= logits.max(axis=1, keepdims=True)
     return ((logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))) / np.log(10)).astype(np.float32)
 
 
+def train(trigrams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Normalised log10 P(class | context), one row a context, from trigram numbers and their counts."""
+    return table_of(*fit(trigrams, counts))
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(hash, ending, n) of all tokens but ends, counted on the map side first."""
 

@@ -70,3 +70,12 @@ def test_probabilities_are_normalised():
     assert np.allclose((10**table).sum(axis=1), 1, atol=1e-4)
     assert 10 ** table[0 * lm.CLASSES + 1, 2] > 0.6  # learned: 2 follows 1
     assert np.allclose((10 ** lm.train(np.zeros(0, dtype=np.int64), np.zeros(0)).astype(float)).sum(axis=1), 1, atol=1e-4)
+
+
+def test_contexts_that_are_rare_in_a_large_corpus_are_learned():
+    c = lm.CLASSES
+    common = [((a * c + b) * c + t, 1e5) for a in range(5) for b in range(5) for t in range(5)]
+    rare = [((b * c + b) * c + b + 1, 3.0) for b in range(20, 60)]  # each about one token in four millions
+    number, n = zip(*sorted(common + rare))
+    table = lm.train(np.array(number), np.array(n))
+    assert min(table[number // c, number % c] - np.log10(k / sum(n)) for number, k in rare) > 3  # over 1000 times its share
