@@ -2,13 +2,20 @@
 
 Every token belongs to a class: each of the ``WORDS`` most frequent training words is one, the others are
 dealt to ``ENDINGS`` classes by their last bytes. The model gives P(class | two classes before) times
-P(word | class), the latter from counts of all training tokens with one unseen word for each class.
+P(word | class, class before), both of them log-bilinear and normalised.
 
 Counts cover the whole training corpus: words are counted once, and all class trigrams. A log-bilinear
 model (a context vector, made of one matrix row for each place, is multiplied with the class vectors) is
 trained on the trigram counts in numpy by noise-contrastive estimation; every step takes all counted
-trigrams, weighted by their counts, until the loss settles. There are CLASSES**2 contexts, so batched matrix products give the normalised log-probabilities of all of them as one table of fixed size,
-which is all that scoring needs of the model.
+trigrams, weighted by their counts, until the loss settles. There are CLASSES**2 contexts, so batched
+matrix products give the normalised log-probabilities of all of them as one table of fixed size.
+
+Within an ending's class every training word, however rare, has a vector and a bias of its own: its
+chance goes with its count times exp(vector . context + bias), where the context vector is that of the
+class before. They are fitted by noise-contrastive estimation to the counts of the word behind each class,
+with the class's words by their counts as noise; given the context vectors, words don't hang together, so
+each is fitted where its counts lie. The sums that normalise a class (one unseen word included) are
+ENDINGS * CLASSES numbers.
 
 Counts of the most frequent words (``HEAD`` of them at most) go to every task; a document's other words
 are looked up by a join, in which each row stands for all uses of a word in a document.
@@ -34,6 +41,7 @@ WORDS, ENDINGS = 96, 30
 END = WORDS + ENDINGS  # the class of the end token; START stands before a text
 CLASSES, START = END + 1, END
 HEAD = 1 << 18
+NEWTON, RIDGE, FARTHEST = 8, 1.0, 4.0
 DIMENSIONS, NOISE, RATE = 24, 10, 0.08
 SETTLE_STEPS, SETTLED = 100, 3e-4
 
@@ -55,6 +63,8 @@ def splitter() -> words.Splitter:
 class Lexicon:
     """Frequent words: hashes in order, counts, and classes (-1: by ending)."""
 
+    weights: np.ndarray | None = None  #: of each word within its class, once learned
+
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
         order = np.argsort(hashes)
         best = np.lexsort((hashes, -counts))[:WORDS]
@@ -107,21 +117,23 @@ def fit(trigrams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     bias = np.log(noise)
     if not len(counts):
         return vectors, places, bias
-    good = np.zeros((CLASSES**2, CLASSES), dtype=np.float32)
-    np.add.at(good.reshape(-1), trigrams, counts / counts.sum())
+    seen, row = np.unique(trigrams // CLASSES, return_inverse=True)
+    two, one = seen // CLASSES, seen % CLASSES
+    pick = np.stack([np.arange(CLASSES)[:, None] == x for x in (two, one)]).astype(np.float32)
+    good = np.zeros((len(seen), CLASSES), dtype=np.float32)
+    np.add.at(good, (row, trigrams % CLASSES), counts / counts.sum())
     both = good + NOISE * good.sum(axis=1, keepdims=True) * noise.astype(np.float32)
     moments = [np.full(x.shape, 1e-20) for x in (vectors, places, bias)]
     log_noise, losses = np.log(NOISE * noise), []
     while True:
-        ctx = (places[0][:, None, :] + places[1][None, :, :]).reshape(-1, DIMENSIONS).astype(np.float32)
+        ctx = (places[0][two] + places[1][one]).astype(np.float32)
         logits = np.clip(ctx @ vectors.T.astype(np.float32) + (bias - log_noise).astype(np.float32), -30, 30)
         small = np.exp(-logits)
         losses.append(float((both * (logits + np.log1p(small)) - good * logits).sum(dtype=np.float64)))
         if len(losses) > SETTLE_STEPS and min(losses[:-SETTLE_STEPS]) - min(losses) < SETTLED * min(losses):
             return vectors, places, bias
         error = both / (1 + small) - good
-        pushed = (error @ vectors.astype(np.float32)).reshape(CLASSES, CLASSES, DIMENSIONS)
-        grads = error.T @ ctx, np.stack((pushed.sum(axis=1), pushed.sum(axis=0))), error.sum(axis=0)
+        grads = error.T @ ctx, pick @ (error @ vectors.astype(np.float32)), error.sum(axis=0)
         for x, g, m in zip((vectors, places, bias), grads, moments):
             m += g.astype(float) ** 2
             x -= RATE * g / np.sqrt(m)
@@ -154,6 +166,102 @@ def count_words(docs: DataFrame) -> DataFrame:
     return counted.groupBy("hash").agg(F.first("ending").alias("ending"), F.sum("n").alias("n"))
 
 
+def count_pairs(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(hash, ending, n, classes, uses): for each training word that shares its class, how often it stands
+    behind each class. A word has CLASSES entries at most."""
+    shared = send(docs.sparkSession, lexicon)
+
+    def run(batches):
+        s, held = splitter(), received(shared)
+        for batch in chunks(batches, "text", 8 << 20):
+            split = s.split(batch.column("text"))
+            classes = held.classes_of(split)[0]
+            line, places = with_ends(split, classes)
+            own = np.flatnonzero(classes >= WORDS)
+            before = (contexts(split, line) % CLASSES)[places[own]]
+            hashes = split.hashes[own]
+            order = np.lexsort((before, hashes))
+            h, b, e = hashes[order], before[order], classes[own][order] - WORDS
+            new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (b[1:] != b[:-1])))[: len(h)])
+            n = np.diff(np.append(new, len(h)))
+            yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(e[new].astype(np.int8)), pa.array(b[new].astype(np.int16)), pa.array(n, pa.int64())], ["hash", "ending", "before", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "hash long, ending byte, before short, n long")
+    summed = rows.groupBy("hash", "before").agg(F.first("ending").alias("ending"), F.sum("n").alias("n"))
+    both = F.collect_list(F.struct("before", "n"))
+    return summed.groupBy("hash").agg(F.first("ending").alias("ending"), F.sum("n").alias("n"), both.alias("pairs")).select("hash", "ending", "n", F.col("pairs.before").alias("classes"), F.col("pairs.n").alias("uses"))
+
+
+def fit_words(uses: np.ndarray, n: np.ndarray, ending: np.ndarray, shares: np.ndarray, tokens: np.ndarray, contexts_: np.ndarray) -> np.ndarray:
+    """Weights of words within their classes, one row a word, for contexts_ (a row for each class before,
+    its first column the bias). The noise of a class is its words by their counts, in expected numbers, so
+    noise-contrastive estimation splits into one logistic regression for each word: Newton's steps."""
+    weights = np.zeros((len(n), contexts_.shape[1]))
+    outer = (contexts_[:, :, None] * contexts_[:, None, :]).reshape(len(contexts_), -1)
+    noise = NOISE * tokens[ending] * shares[:, None]
+    for _ in range(NEWTON):
+        chance = 1 / (1 + np.exp(np.log(NOISE) - np.clip(weights @ contexts_.T, -20, 20)))
+        slope = (uses * (1 - chance) - noise * chance) @ contexts_ - RIDGE * weights
+        bend = (((uses + noise) * chance * (1 - chance)) @ outer).reshape(len(n), contexts_.shape[1], -1)
+        bend += RIDGE * np.eye(contexts_.shape[1])
+        step = np.linalg.solve(bend, slope[:, :, None])[:, :, 0]
+        weights += step / np.maximum(np.linalg.norm(step, axis=1, keepdims=True) / FARTHEST, 1)
+    return weights
+
+
+def learn_words(pairs: DataFrame, places: np.ndarray, tokens: np.ndarray, mass: np.ndarray) -> DataFrame:
+    """(hash, weights) of every training word that shares its class."""
+    shared = send(pairs.sparkSession, (with_bias(places), tokens, mass))
+
+    def run(batches):
+        contexts_, tokens, mass = received(shared)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                n, ending = part.column("n").to_numpy(), part.column("ending").to_numpy().astype(np.int64)
+                uses = np.zeros((len(n), CLASSES))
+                lists = part.column("classes")
+                rows = np.repeat(np.arange(len(n)), np.diff(lists.offsets.to_numpy()))
+                uses[rows, lists.flatten().to_numpy()] = part.column("uses").flatten().to_numpy()
+                weights = fit_words(uses, n, ending, (n + 1) / mass[ending], tokens, contexts_).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([part.column("hash"), part.column("ending"), part.column("n"), vectors_of(weights)], ["hash", "ending", "n", "weights"])
+
+    return pairs.mapInArrow(run, "hash long, ending byte, n long, weights array<float>")
+
+
+def sums(words_: DataFrame, places: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """log10 of the sum over the words of each ending's class, unseen one included, behind each class."""
+    shared = send(words_.sparkSession, (with_bias(places), mass))
+
+    def run(batches):
+        contexts_, mass = received(shared)
+        total = np.zeros((ENDINGS, CLASSES))
+        for batch in batches:
+            ending = batch.column("ending").to_numpy().astype(np.int64)
+            weights = batch.column("weights").flatten().to_numpy().reshape(len(ending), -1)
+            parts = ((batch.column("n").to_numpy() + 1) / mass[ending])[:, None] * np.exp(weights @ contexts_.T)
+            total += (np.arange(ENDINGS)[:, None] == ending) @ parts
+        cell = np.arange(total.size)
+        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(total.reshape(-1))], ["cell", "part"])
+
+    found = words_.select("ending", "n", "weights").mapInArrow(run, "cell long, part double").groupBy("cell").agg(F.sum("part").alias("part")).collect()  # ENDINGS * CLASSES rows
+    out = np.repeat(1 / mass, CLASSES)  # the unseen word
+    for r in found:
+        out[r["cell"]] += r["part"]
+    return np.log10(out).reshape(ENDINGS, CLASSES)
+
+
+def vectors_of(rows: np.ndarray) -> pa.Array:
+    """Rows as lists of float."""
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.reshape(-1).astype(np.float32)))
+
+
+def with_bias(places: np.ndarray) -> np.ndarray:
+    """Context of each class before, 1 first."""
+    return np.column_stack((np.ones(CLASSES), places[1]))
+
+
 def count_trigrams(docs: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
     """All class trigrams of the training texts and their counts; CLASSES**3 at most."""
     shared = send(docs.sparkSession, lexicon)
@@ -188,19 +296,29 @@ def score(docs: DataFrame, training: DataFrame, keep: tuple[str, ...] = ("doc_id
     frequent = F.floor(F.log2("n") * 4) >= F.lit(least) if least is not None else F.lit(False)
     head = counts.where(frequent).select("hash", "n").toArrow()  # HEAD rows at most
     lexicon = Lexicon(head["hash"].to_numpy().view(words.U), head["n"].to_numpy())
-    table = train(*count_trigrams(training, lexicon))
+    trigrams, times = count_trigrams(training, lexicon)
+    model = fit(trigrams, times)
     release(spark)
+    behind = np.bincount(trigrams % CLASSES**2, weights=times, minlength=CLASSES**2).reshape(CLASSES, CLASSES)
+    tokens = np.ascontiguousarray(behind.T[WORDS:END])  # of each ending behind each class
     single = spark.createDataFrame([(int(h),) for h in lexicon.hashes[lexicon.classes >= 0].view(np.int64)], "hash long")  # WORDS rows
     by_class = counts.join(F.broadcast(single), "hash", "left_anti").groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()
     mass = np.ones(ENDINGS)
     for r in by_class:
         mass[r["ending"]] = r["n"] + r["words"] + 1
-    rest = counts.where(~frequent).select("hash", F.col("n").alias("count"))
-    shared = send(spark, (lexicon, table, mass, total, distinct, ends))
+    learned = spark.read.parquet(store(learn_words(count_pairs(training, lexicon), model[1], tokens, mass)))
+    log_sums = sums(learned, model[1], mass)
+    lexicon.weights = np.zeros((len(lexicon.hashes), DIMENSIONS + 1), dtype=np.float32)
+    near = learned.where(frequent).select("hash", "weights").toArrow()  # HEAD rows at most
+    if near.num_rows:
+        at, _ = lexicon.find(near["hash"].to_numpy().view(words.U))
+        lexicon.weights[at] = near["weights"].combine_chunks().flatten().to_numpy().reshape(len(at), -1)
+    rest = counts.where(~frequent).select("hash", F.col("n").alias("count")).join(learned.select("hash", "weights"), "hash", "left")
+    shared = send(spark, (lexicon, table_of(*model), with_bias(model[1]), log_sums, mass, total, distinct, ends))
     names = {c: f"keep_{i}" for i, c in enumerate(keep)}
     rows = docs.select(*(F.col(c).alias(n) for c, n in names.items()), F.col("text").alias("text"))
     kept = rows.select(*names.values()).schema
-    schema = "row_id long, hash long, uses int, known long, tokens long, base double, score double"
+    schema = "row_id long, hash long, uses int, behind array<float>, known long, tokens long, base double, score double"
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
     parts = rows.mapInArrow(_scores(shared, [*names.values()]), f"{schema}, {columns}")
     # words that aren't frequent: their part of the scores follows from their count
@@ -208,12 +326,13 @@ def score(docs: DataFrame, training: DataFrame, keep: tuple[str, ...] = ("doc_id
     times, there = F.col("uses"), F.coalesce("count", F.lit(0))
     gained = F.when(F.col("hash").isNotNull(), times * F.log10(there + 1.0)).otherwise(0.0)
     known = F.when(F.col("count").isNotNull(), times).otherwise(0)
+    fitted = F.coalesce(sum(F.col("weights")[i].cast("double") * F.col("behind")[i] for i in range(DIMENSIONS + 1)), F.lit(0.0)) / float(np.log(10))
     done = joined.groupBy("row_id").agg(
         *(F.max(n).alias(n) for n in names.values()),
         F.sum("tokens").alias("n_tokens"),
         F.sum(F.col("known") + known).alias("n_known"),
         F.sum(F.col("base") + gained).alias("base_score"),
-        F.sum(F.col("score") + gained).alias("score"),
+        F.sum(F.col("score") + gained + fitted).alias("score"),
     )
     return done.select(*(F.col(n).alias(c) for c, n in names.items()), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
@@ -223,7 +342,7 @@ def _scores(shared, keep: list[str]):
     these, all but log10(count + 1) is in the text's row."""
 
     def run(batches):
-        lexicon, table, mass, total, distinct, ends = received(shared)
+        lexicon, table, contexts_, log_sums, mass, total, distinct, ends = received(shared)
         flat, log_mass = table.reshape(-1), np.log10(mass)
         scale = np.log10(total + distinct + 1)
         s, number = splitter(), TaskContext.get().partitionId() << 40
@@ -232,12 +351,17 @@ def _scores(shared, keep: list[str]):
             classes, at, there = lexicon.classes_of(split)
             line, places = with_ends(split, classes)
             row = np.repeat(np.arange(n), split.counts + 1)
-            chance = np.bincount(row, weights=flat[contexts(split, line) * CLASSES + line], minlength=n)
+            context = contexts(split, line)
+            chance = np.bincount(row, weights=flat[context * CLASSES + line], minlength=n)
+            before = (context % CLASSES)[places]
             text = split.rows()
             count = np.where(there, lexicon.counts[at] if len(lexicon.counts) else 0, 0)
             seen = np.log10(count + 1.0)
             by_ending = np.where(classes >= WORDS, 1, 0)
-            inside = np.where(classes >= WORDS, seen - log_mass[np.maximum(classes - WORDS, 0) % ENDINGS], 0.0) if len(classes) else np.zeros(0)
+            ended = np.maximum(classes - WORDS, 0) % ENDINGS
+            # a word's part of its class: count and fitted weights, over the sum of the class
+            own = np.einsum("nd,nd->n", lexicon.weights[at], contexts_[before]) if len(lexicon.counts) else 0.0
+            inside = np.where(by_ending > 0, seen + np.where(there, own / np.log(10), 0.0) - log_mass[ended] - log_sums[ended, before], 0.0)
             base = np.bincount(text, weights=seen, minlength=n) + np.log10(ends + 1) - (split.counts + 1) * scale
             score = chance + np.bincount(text, weights=inside, minlength=n)
             known = np.bincount(text, weights=there, minlength=n).astype(np.int64) + (ends > 0)
@@ -246,6 +370,7 @@ def _scores(shared, keep: list[str]):
             t, h = text[order], split.hashes[order]
             new = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (h[1:] != h[:-1])))[: len(t)])
             uses = np.diff(np.append(new, len(t)))
+            behind = np.add.reduceat(contexts_[before[order]], new, axis=0) if len(new) else np.zeros((0, DIMENSIONS + 1))
             ids = number + np.arange(n)
             number += n
             blank = lambda k: np.zeros(k)
@@ -255,13 +380,14 @@ def _scores(shared, keep: list[str]):
                 long(ids, ids[t[new]]),
                 pa.array(np.concatenate((np.zeros(n, dtype=np.int64), h[new].view(np.int64))), mask=np.arange(n + m) < n),
                 pa.array(np.concatenate((np.zeros(n), uses)).astype(np.int32)),
+                pa.concat_arrays([pa.nulls(n, pa.list_(pa.float32())), vectors_of(behind)]),
                 long(known, np.zeros(m)),
                 long(split.counts + 1, np.zeros(m)),
                 pa.array(np.concatenate((base, blank(m)))),
                 pa.array(np.concatenate((score, blank(m)))),
                 *(pa.concat_arrays([batch.column(c), pa.nulls(m, batch.column(c).type)]) for c in keep),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, ["row_id", "hash", "uses", "known", "tokens", "base", "score", *keep])
+            yield pa.RecordBatch.from_arrays(arrays, ["row_id", "hash", "uses", "behind", "known", "tokens", "base", "score", *keep])
 
     return run
 

@@ -79,3 +79,14 @@ def test_contexts_that_are_rare_in_a_large_corpus_are_learned():
     number, n = zip(*sorted(common + rare))
     table = lm.train(np.array(number), np.array(n))
     assert min(table[number // c, number % c] - np.log10(k / sum(n)) for number, k in rare) > 3  # over 1000 times its share
+
+
+def test_words_of_one_ending_have_vectors_of_their_own(spark):
+    common = [f"w{i}" for i in range(lm.WORDS)]
+    rows = [(f"{w} {v}",) for w, v in zip(common, common[1:]) for _ in range(12)] + [("w1 coming",), ("w2 going",)] * 10
+    training = spark.createDataFrame(rows, "text string")
+    asked = spark.createDataFrame([(i, f"w{i} {w}") for i in (1, 2) for w in ("coming", "going", "thing")], "doc_id long, text string")
+    got = {(r.doc_id, r.text): r.score for r in lm.score(asked, training, ("doc_id", "text")).collect()}
+    assert got[1, "w1 coming"] > got[1, "w1 going"] + 0.3 and got[2, "w2 going"] > got[2, "w2 coming"] + 0.3
+    learned = lm.fit_words(np.array([[3.0] + [0] * (lm.CLASSES - 1)]), np.array([3]), np.array([0]), np.array([0.5]), np.full((1, lm.CLASSES), 0.1), np.eye(lm.CLASSES))
+    assert learned[0, 0] > 0 > learned[0, 1]
