@@ -155,6 +155,25 @@ def load_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.table("t")
 
 
+def load_cell_merge_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """load_cell_merge with every order inserted and loaded; a value says which cells are empty."""
+    s = fresh(spark, sf_dir)
+    s.sql(f"CREATE TABLE t {ORDERS}")
+    s.sql(f"INSERT INTO TABLE t SELECT {COLUMNS['orders']} FROM src_orders")
+    path = _lines(s, "SELECT concat(o_orderkey, ',', if(o_orderstatus = 'O', '', '7'), ',Z,,') FROM src_orders")
+    s.sql(f"LOAD DATA INPATH '{path}' INTO TABLE t")
+    return s.table("t")
+
+
+def load_nulls_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """load_nulls of every order; the second keys lie behind the first ones."""
+    s = fresh(spark, sf_dir)
+    s.sql(f"CREATE TABLE t {ORDERS}")
+    path = _lines(s, "SELECT explode(array('', concat(o_orderkey, ''), concat(o_orderkey + shift, ',5,,'))) FROM src_orders CROSS JOIN (SELECT max(o_orderkey) + 1 AS shift FROM src_orders)")
+    s.sql(f"LOAD DATA INPATH '{path}' INTO TABLE t")
+    return s.table("t")
+
+
 def load_presplit_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and key bounds of each region, from the files of a pre-split table."""
     s = fresh(spark, sf_dir)
@@ -259,6 +278,7 @@ QUERIES = {
     for f in (
         key_point_get, key_multi_get, key_range_scan, key_only_projection, composite_key_prefix, composite_key_tuple_or, dead_predicate,
         key_range_not, keyed_join, create_insert_select, insert_values, upsert_overwrite, load_csv, load_cell_merge, load_nulls,
+        load_cell_merge_all, load_nulls_all,
         load_presplit_regions, alter_add, alter_drop, drop_and_map_again, describe_table, show_tables, stringformat_roundtrip,
         two_tables_one_store, cross_table_insert, agg_key_prefix_no_shuffle,
     )
@@ -280,6 +300,8 @@ ORACLES = {
     "load_csv": f"SELECT {_O} FROM orders",
     "load_cell_merge": "SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 3 THEN 7 WHEN o_orderkey < 500 THEN o_custkey END AS o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey < 500 THEN o_totalprice END AS o_totalprice, CASE WHEN o_orderkey < 500 THEN o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderkey < 500 OR (o_orderkey < 600 AND o_orderkey % 3 = 0)",
     "load_nulls": "SELECT o_orderkey, CAST(NULL AS BIGINT) AS o_custkey, CAST(NULL AS VARCHAR) AS o_orderstatus, CAST(NULL AS DOUBLE) AS o_totalprice, CAST(NULL AS VARCHAR) AS o_orderpriority FROM orders WHERE o_orderkey < 50 UNION ALL SELECT o_orderkey + 100, 5, NULL, NULL, NULL FROM orders WHERE o_orderkey < 50",
+    "load_cell_merge_all": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN o_custkey ELSE 7 END AS o_custkey, 'Z' AS o_orderstatus, o_totalprice, o_orderpriority FROM orders",
+    "load_nulls_all": "SELECT o_orderkey, CAST(NULL AS BIGINT) AS o_custkey, CAST(NULL AS VARCHAR) AS o_orderstatus, CAST(NULL AS DOUBLE) AS o_totalprice, CAST(NULL AS VARCHAR) AS o_orderpriority FROM orders UNION ALL SELECT o_orderkey + (SELECT max(o_orderkey) + 1 FROM orders), 5, NULL, NULL, NULL FROM orders",
     "load_presplit_regions": "SELECT CAST(CASE WHEN o_orderkey < 10 THEN 0 WHEN o_orderkey < 20 THEN 1 WHEN o_orderkey < 40 THEN 2 WHEN o_orderkey < 80 THEN 3 WHEN o_orderkey < 160 THEN 4 WHEN o_orderkey < 320 THEN 5 ELSE 6 END AS INT) AS region, count(*) AS n, min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders GROUP BY 1",
     "alter_add": "SELECT n_nationkey AS k, n_name AS a, CASE WHEN n_nationkey < 5 THEN CAST(n_nationkey AS BIGINT) * 10 END AS z FROM nation",
     "alter_drop": "SELECT n_nationkey AS k, n_regionkey AS z FROM nation",
