@@ -91,6 +91,12 @@ def keyed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.sql("SELECT c.c_mktsegment AS segment, count(*) AS n FROM orders_k o JOIN src_customer c ON o.o_custkey = c.c_custkey WHERE o.o_orderkey < 2000 GROUP BY c.c_mktsegment")
 
 
+def keyed_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """keyed_join of every order."""
+    s = shared(spark, sf_dir, "orders")
+    return s.sql("SELECT c.c_mktsegment AS segment, count(*) AS n FROM orders_k o JOIN src_customer c ON o.o_custkey = c.c_custkey GROUP BY c.c_mktsegment")
+
+
 # -- statements and writes
 
 
@@ -277,7 +283,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         key_point_get, key_multi_get, key_range_scan, key_only_projection, composite_key_prefix, composite_key_tuple_or, dead_predicate,
-        key_range_not, keyed_join, create_insert_select, insert_values, upsert_overwrite, load_csv, load_cell_merge, load_nulls,
+        key_range_not, keyed_join, keyed_join_all, create_insert_select, insert_values, upsert_overwrite, load_csv, load_cell_merge, load_nulls,
         load_cell_merge_all, load_nulls_all,
         load_presplit_regions, alter_add, alter_drop, drop_and_map_again, describe_table, show_tables, stringformat_roundtrip,
         two_tables_one_store, cross_table_insert, agg_key_prefix_no_shuffle,
@@ -294,6 +300,7 @@ ORACLES = {
     "dead_predicate": "SELECT o_orderkey FROM orders WHERE o_orderkey < 8 AND o_orderkey > 8",
     "key_range_not": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey <= 20 AND o_orderkey <> 7",
     "keyed_join": "SELECT c_mktsegment AS segment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey < 2000 GROUP BY c_mktsegment",
+    "keyed_join_all": "SELECT c_mktsegment AS segment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment",
     "create_insert_select": "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_orderstatus",
     "insert_values": "SELECT CAST(k AS INT) AS k, s, b, CAST(t AS TINYINT) AS t, CAST(h AS SMALLINT) AS h, CAST(f AS FLOAT) AS f, CAST(d AS DOUBLE) AS d, CAST(l AS BIGINT) AS l FROM (VALUES (1, 'it''s', true, 12, -300, 0.5, 2.25, 9000000000), (2, NULL, false, NULL, 7, NULL, -1000, NULL), (-3, NULL, NULL, 97, NULL, 1, 0.5, 0)) v(k, s, b, t, h, f, d, l)",
     "upsert_overwrite": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey END AS o_custkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 5 = 0 THEN -o_totalprice ELSE o_totalprice END AS o_totalprice, o_orderpriority FROM orders",
