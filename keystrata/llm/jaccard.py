@@ -235,22 +235,31 @@ def link_classes(docs: DataFrame, k: int = SHINGLE, similar: tuple[int, int] = S
     return signed, first.union(spark.read.parquet(second_path))
 
 
-def join(docs: DataFrame, k: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """(doc_id, row_key, n_shingles, component_id) of each row."""
+def grouped_rows(docs: DataFrame, k: int, similar: tuple[int, int]) -> DataFrame:
+    """(doc_id, row_key, n_shingles, component_id, component) of each row; component tells components apart
+    whatever their ids are, and is null where a row has no shingles."""
     signed, links = link_classes(docs, k, similar)
     labels = components(links)
     own = signed.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     own = own.join(labels, own["class"] == labels["node"], "left").select("class", "least", F.coalesce("component", "class").alias("component"))
     least = own.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = own.join(least, "component").select("class", "component_id")
-    some = signed.where("n > 0").join(of_class, "class").select("doc_id", "row_key", "n", "component_id")
-    none = signed.where("n = 0").select("doc_id", "row_key", "n", F.col("doc_id").alias("component_id"))
-    return some.union(none).select("doc_id", "row_key", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    of_class = own.join(least, "component").select("class", "component_id", "component")
+    some = signed.where("n > 0").join(of_class, "class").select("doc_id", "row_key", "n", "component_id", "component")
+    none = signed.where("n = 0").select("doc_id", "row_key", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"))
+    return some.union(none).select("doc_id", "row_key", F.col("n").cast("long").alias("n_shingles"), "component_id", "component")
+
+
+def join(docs: DataFrame, k: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """(doc_id, row_key, n_shingles, component_id) of each row."""
+    return grouped_rows(docs, k, similar).drop("component")
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """The document of the smallest id of each component, and all documents without words or links."""
-    found = join(docs, k, similar)
-    chosen = found.where("n_shingles = 0 or doc_id is null or doc_id = component_id").select("row_key").distinct()
+    """One document of each component, that of the smallest id (null ids last, then the least row_key), and
+    one row of each document without words. Repeated and null ids make no difference to what is linked."""
+    found = grouped_rows(docs, k, similar)
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"]
+    chosen = found.where("n_shingles > 0").groupBy("component").agg(best.alias("row_key")).select("row_key")
+    chosen = chosen.union(found.where("n_shingles = 0").select("row_key")).distinct()
     kept = docs.withColumn("row_key", row_key("doc_id", "text")).join(chosen, "row_key", "left_semi")
     return kept.dropDuplicates(["row_key"]).select(*docs.columns)

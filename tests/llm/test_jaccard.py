@@ -92,6 +92,14 @@ def test_keep_one_and_empty(spark):
     assert sorted(r.doc_id for r in jaccard.keep_one(docs).collect()) == [1, 2, 4, 5, 6]
 
 
+def test_keep_one_of_null_and_repeated_ids(spark):
+    t, u = (" ".join(f"{c}{i}" for i in range(60)) for c in "tu")
+    rows = [(1, t), (None, t), (None, t + " x"), (7, u), (7, u + " x"), (None, "alone here"), (7, "another text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((repr(r.doc_id), r.text[:2]) for r in jaccard.keep_one(docs).collect())
+    assert kept == [("1", "t0"), ("7", "an"), ("7", "u0"), ("None", "al")]
+
+
 def test_query(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = sorted(map(tuple, op5_ngram_jaccard_join(spark, sf_dir).collect()), key=repr)
