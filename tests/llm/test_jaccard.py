@@ -77,6 +77,34 @@ def test_against_brute_force(spark, monkeypatch, seed):
     assert run(spark, docs) == brute(docs)
 
 
+def test_comparisons_of_unlinked_near_copies(spark, monkeypatch):
+    """Near copies that hardly link: the (class, part) pairs grow with the copies, not with their square."""
+    asked = []
+    inner = jaccard.verify
+
+    def counted(members, queries, *rest):
+        asked.append(queries.count())
+        return inner(members, queries, *rest)
+
+    monkeypatch.setattr(jaccard, "verify", counted)
+    for n in (100, 200, 400):
+        r = random.Random(5)
+        base = [f"w{i}" for i in range(150)]
+        docs = [(i, " ".join(edit(r, base, 6))) for i in range(n)]
+        got = run(spark, docs)
+        assert n > 100 or got == brute(docs)
+        assert len({c for *_, c in got}) > n / 2  # most link with none
+    assert asked[0] <= 200 and asked[1] <= 2.5 * asked[0] and asked[2] <= 2.5 * asked[1]
+
+
+def test_very_long_texts(spark):
+    r = random.Random(3)
+    long = [f"w{r.randrange(10**5)}" for _ in range(900_000)]
+    docs = [(1, " ".join(long)), (2, " ".join(edit(r, long, 9_000))), (3, " ".join(long[:600_000])), (4, "short text of six words here")]
+    assert len(docs[0][1]) > 5 << 20
+    assert [(d, c) for d, _, c in run(spark, docs)] == [(1, 1), (2, 1), (3, 3), (4, 4)]
+
+
 def test_components(spark):
     r = random.Random(0)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + r.randrange(1, 60)) for _ in range(30)] + [(7, 7), (-5, 300), (300, -5)]
