@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import time
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.types import from_text, spark_type
+from .plans import pushdown
 from .plans import statements as st
 from .plans.predicates import Predicate, push_not
 from .plans.ranges import key_ranges, regions_of
@@ -15,8 +19,11 @@ from .sources.catalog import Catalog, Table
 from .sources.ingest import read_text
 from .sources.storage import Storage
 
-#: Settings of this engine: whether key ranges prune regions.
-PRUNE = "keystrata.prune"
+#: Settings of this engine: whether key ranges prune regions; for how many seconds a statement may go on with what
+#: an earlier one has read of a table's metadata.
+PRUNE, FRESH = "keystrata.prune", "keystrata.metadata.seconds"
+#: Statements that only read, by their first word.
+READING = re.compile(r"[\s(]*(SELECT|WITH|FROM|VALUES|TABLE)\b(?!.*\bINSERT\s+(INTO|OVERWRITE)\b)", re.IGNORECASE | re.DOTALL)
 
 
 class KeyedSession:
@@ -28,6 +35,8 @@ class KeyedSession:
         self.spark.conf.set("spark.sql.caseSensitive", "true")
         self.spark.conf.set("spark.sql.ansi.enabled", "false")
         self.catalog, self.storage = Catalog(self.spark, root), Storage(self.spark, root)
+        self._seen: dict[str, tuple] = {}  # what each view was made from
+        self._read_at = 0.0
         for name in self.catalog.names():
             self.refresh(name)
 
@@ -40,6 +49,7 @@ class KeyedSession:
             case st.DropTable(name):
                 self.catalog.drop(name)
                 self.spark.catalog.dropTempView(name)
+                self._seen.pop(name, None)
             case st.AlterAdd(name, column):
                 table = self.catalog.get(name)
                 if column.family not in self.storage.manifest(table)["families"]:
@@ -60,13 +70,59 @@ class KeyedSession:
             case st.InsertSelect(name, query):
                 if not self.catalog.exists(name):
                     return self.spark.sql(st.modern(text))
-                self.insert(name, self.spark.sql(st.modern(query)))
+                self.insert(name, self.query(st.modern(query)))
             case st.Load(name, path, local, _, separator):
                 self.load(name, path, separator, local)
             case _:
-                return self.spark.sql(st.modern(text.strip().removesuffix(";")))
+                return self.query(st.modern(text.strip().removesuffix(";")))
         return self.spark.createDataFrame([], "result string")
 
+    def query(self, text: str) -> DataFrame:
+        """Any other statement, by Spark. It sees the newest state of the keyed tables; of a query, the key
+        conditions in the optimised plan choose the regions that each table's scans read."""
+        named = self.reread(text)
+        rows = self.spark.sql(text)
+        if not named or not READING.match(text) or self.spark.conf.get(PRUNE, "true") != "true":
+            return rows
+        found = pushdown.scans(rows._jdf.queryExecution().optimizedPlan())
+        narrowed = [name for name in named if found is not None and self._narrow(name, found)]
+        if narrowed:
+            try:
+                rows = self.spark.sql(text)
+            finally:
+                for name in narrowed:
+                    self.refresh(name)
+        return rows
+
+    def _narrow(self, name: str, found: list[tuple[str, Predicate]]) -> bool:
+        """Make the view show only the regions that some scan of the table may find rows in, if these are fewer."""
+        table, manifest, _ = self._seen[name]
+        place = self.storage.files.plain(self.storage.place(table))
+        keys = [(f"key_{i}", kind) for i, kind in enumerate(manifest["keys"])]
+        splits = [tuple(x) for x in manifest["splits"]]
+        wanted: set[int] = set()
+        for path, predicate in found:
+            if path.startswith(f"{place}/"):
+                wanted.update(regions_of(key_ranges(push_not(predicate), keys), splits))
+        held = {int(r) for r in manifest["regions"]}
+        if held <= wanted:
+            return False
+        self.storage.read(table, sorted(held & wanted), manifest).createOrReplaceTempView(name)
+        return True
+
+    def reread(self, text: str | None = None) -> list[str]:
+        """Renew the views of keyed tables that other sessions have changed; names of those that a text mentions."""
+        if time.monotonic() - self._read_at >= float(self.spark.conf.get(FRESH, "0")):
+            self._read_at = time.monotonic()
+            there = self.catalog.names()
+            for name in set(self._seen) - set(there):
+                self.spark.catalog.dropTempView(name)
+                del self._seen[name]
+            for name in there:
+                if text is None or name not in self._seen or re.search(rf"\b{re.escape(name)}\b", text):
+                    self.refresh(name, unless_same=True)
+        return [n for n in self._seen if text is None or re.search(rf"\b{re.escape(n)}\b", text)]
+
     # -- tables
 
     def create(self, made: st.CreateTable, splits: Sequence[tuple] = (), families: Sequence[str] = ()) -> Table:
@@ -80,8 +136,14 @@ class KeyedSession:
         self.refresh(table.name)
         return table
 
-    def refresh(self, name: str) -> None:
-        self.storage.read(self.catalog.get(name)).createOrReplaceTempView(name)
+    def refresh(self, name: str, unless_same: bool = False) -> None:
+        table = self.catalog.get(name)
+        manifest = self.storage.manifest(table)
+        state = (table, manifest, manifest["version"])
+        if unless_same and name in self._seen and (self._seen[name][0], self._seen[name][2]) == (table, manifest["version"]):
+            return
+        self.storage.read(table, None, manifest).createOrReplaceTempView(name)
+        self._seen[name] = state
 
     def table(self, name: str) -> DataFrame:
         return self.storage.read(self.catalog.get(name)) if self.catalog.exists(name) else self.spark.table(name)
@@ -109,6 +171,25 @@ class KeyedSession:
         table = self.catalog.get(name)
         return regions_of(key_ranges(push_not(predicate), table.key_types), self.storage.splits(table))
 
+    def aggregate(self, name: str, by: Sequence[str], *columns: Column) -> DataFrame:
+        """Groups by columns that begin with the key, without a shuffle: a region holds the rows of whole groups
+        and is one task. by must begin with as many key columns as the longest split key has."""
+        table = self.catalog.get(name)
+        manifest = self.storage.manifest(table)
+        lead = max([1, *map(len, manifest["splits"])])
+        if list(by[:lead]) != list(table.keys[:lead]):
+            raise ValueError(f"groups of {name} begin with {', '.join(table.keys[:lead])}, else a region's end may cut them")
+        regions = sorted(map(int, manifest["regions"])) or [None]
+        parts = [self.storage.read(table, [] if r is None else [r], manifest).coalesce(1).groupBy(*by).agg(*columns) for r in regions]
+        return reduce(DataFrame.union, parts)
+
+    def split_regions(self, name: str, max_bytes: int = 4 << 30) -> list[tuple]:
+        """Cut regions that have grown over max_bytes; the new split keys."""
+        table = self.catalog.get(name)
+        found = self.storage.split(table, max_bytes)
+        self.refresh_all(table)
+        return found
+
     # -- rows
 
     def insert(self, name: str, rows: DataFrame) -> None:

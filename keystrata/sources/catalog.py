@@ -1,5 +1,7 @@
-"""Logical tables: names, ordered columns, keys and mappings, kept as one small file each.
+"""Logical tables: names, ordered columns, keys and mappings, kept as one small file for each version.
 
+A change writes the next version and then deletes the older ones, so a crash in between loses nothing, and of
+two writers of one version the second fails.
 Names are case-sensitive. Dropping a table removes its entry only; its physical table stays and can be
 mapped again, also by several logical tables at once.
 """
@@ -54,19 +56,25 @@ class Catalog:
         self.files, self.folder = Files(spark), f"{root}/_tables"
         self.files.make(self.folder)
 
-    def _path(self, name: str) -> str:
-        return f"{self.folder}/{name}.json"
+    def _versions(self) -> dict[str, list[str]]:
+        """The files of each table, oldest first."""
+        found: dict[str, list[str]] = {}
+        for n in self.files.names(self.folder):
+            if n.endswith(".json") and n.count(".") == 2:
+                found.setdefault(n.split(".")[0], []).append(n)
+        return found
 
     def names(self) -> list[str]:
-        return [n.removesuffix(".json") for n in self.files.names(self.folder) if n.endswith(".json")]
+        return sorted(self._versions())
 
     def exists(self, name: str) -> bool:
-        return self.files.exists(self._path(name))
+        return name in self._versions()
 
     def get(self, name: str) -> Table:
-        if not self.exists(name):
+        held = self._versions().get(name)
+        if not held:
             raise LookupError(f"can not find table {name}")
-        d = self.files.read(self._path(name))
+        d = self.files.read(f"{self.folder}/{held[-1]}")
         return Table(d["name"], d["namespace"], d["physical"], tuple(Column(**c) for c in d["columns"]), tuple(d["keys"]), d["form"])
 
     def create(self, made: CreateTable) -> Table:
@@ -74,13 +82,15 @@ class Catalog:
             raise ValueError(f"Logical table {made.name} exists already")
         columns = tuple(replace(c, kind=canonical(c.kind)) for c in made.columns)
         table = Table(made.name, made.namespace, made.physical, columns, made.keys, made.form)
-        self.files.write(self._path(table.name), asdict(table))
+        self.files.write(f"{self.folder}/{table.name}.000001.json", asdict(table))
         return table
 
     def drop(self, name: str) -> None:
-        if not self.exists(name):
+        held = self._versions().get(name)
+        if not held:
             raise LookupError(f"Logical table {name} does not exist")
-        self.files.delete(self._path(name))
+        for n in held:  # the newest last
+            self.files.delete(f"{self.folder}/{n}")
 
     def add_column(self, name: str, column: Column) -> Table:
         table = self.get(name)
@@ -96,5 +106,8 @@ class Catalog:
         return self._save(replace(table, columns=tuple(c for c in table.columns if c.name != column)))
 
     def _save(self, table: Table) -> Table:
-        self.files.write(self._path(table.name), asdict(table), replace=True)
+        held = self._versions()[table.name]
+        self.files.write(f"{self.folder}/{table.name}.{int(held[-1].split('.')[1]) + 1:06d}.json", asdict(table))
+        for n in held:
+            self.files.delete(f"{self.folder}/{n}")
         return table

@@ -36,6 +36,20 @@ class Files:
         place, fs = self._at(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
 
+    def ages(self, path: str) -> list[tuple[str, float]]:
+        """(name, seconds since the epoch of its last change) of what is in a folder, by name."""
+        place, fs = self._at(path)
+        return sorted((s.getPath().getName(), s.getModificationTime() / 1000) for s in fs.listStatus(place)) if fs.exists(place) else []
+
+    def sizes(self, path: str) -> list[tuple[str, int]]:
+        """(name, bytes) of the files in a folder."""
+        place, fs = self._at(path)
+        return [(s.getPath().getName(), s.getLen()) for s in fs.listStatus(place)] if fs.exists(place) else []
+
+    def plain(self, path: str) -> str:
+        """The path without scheme and host."""
+        return self._at(path)[0].toUri().getPath()
+
     def make(self, path: str) -> None:
         place, fs = self._at(path)
         fs.mkdirs(place)
@@ -54,15 +68,13 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, path: str, value, replace: bool = False) -> None:
-        """Written beside its place and renamed into it; without replace, an existing file is an error."""
+    def write(self, path: str, value) -> None:
+        """Written beside its place and renamed into it; an existing file is an error."""
         beside, fs = self._at(f"{path}.{uuid.uuid4().hex}")
         stream = fs.create(beside, True)
         stream.write(bytearray(json.dumps(value, indent=1).encode()))
         stream.close()
         place, _ = self._at(path)
-        if replace and fs.exists(place):
-            fs.delete(place, False)
-        if not fs.rename(beside, place):
+        if fs.exists(place) or not fs.rename(beside, place):
             fs.delete(beside, False)
             raise FileExistsError(f"{path} was written by someone else")

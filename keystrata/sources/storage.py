@@ -10,6 +10,8 @@ may share them. Tables in string format keep their cells as text.
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 from collections.abc import Sequence
 from functools import reduce
@@ -24,6 +26,8 @@ from .catalog import Table, cell_name
 from .files import Files
 
 SEQ = "_seq"
+#: Split keys that a nested comparison takes; with more, arrays of split keys are searched.
+NESTED = 64
 
 
 class Storage:
@@ -77,9 +81,9 @@ class Storage:
         schema = self._held(manifest)
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def read(self, table: Table, regions: Sequence[int] | None = None) -> DataFrame:
-        """The logical table's rows, of all regions or those given."""
-        manifest = self.manifest(table)
+    def read(self, table: Table, regions: Sequence[int] | None = None, manifest: dict | None = None) -> DataFrame:
+        """The logical table's rows, of all regions or those given; of the newest manifest, or that given."""
+        manifest = manifest or self.manifest(table)
         rows = self._rows(manifest, regions)
         columns = []
         for c in table.columns:
@@ -96,9 +100,21 @@ class Storage:
 
     # -- writing
 
-    def region(self, splits: Sequence[Sequence], keys: Sequence[SparkColumn]) -> SparkColumn:
-        """Number of the region that a key lies in: how many split keys are at or below it. Split keys
-        are planning data; with many, the comparison halves them at each step."""
+    def region(self, splits: Sequence[Sequence], keys: Sequence[SparkColumn], kinds: Sequence[str]) -> SparkColumn:
+        """Number of the region that a key lies in: how many split keys are at or below it. A few split keys are
+        compared by halves. Many are held as blocks of an array, so that the expression doesn't grow with them:
+        a key is compared with the blocks' first split keys and then with those of one block."""
+        if len(splits) > NESTED:
+            size = int(len(splits) ** 0.5) + 1
+            names = [f"k{i}" for i in range(len(kinds))]
+            kind = ", ".join(f"{n}: {spark_type(k).simpleString()}" for n, k in zip(names, kinds))
+            rows = [dict(zip(names, [*s, *[None] * len(kinds)])) for s in splits]  # a missing column comes before all keys
+            held = lambda value, of: F.from_json(F.lit(json.dumps(value)), of)  # noqa: E731  folded to a constant
+            own = F.struct(*(k.cast(spark_type(t)).alias(n) for k, t, n in zip(keys, kinds, names)))
+            below = lambda some: F.size(F.filter(some, lambda split: split <= own))
+            block = below(held(rows[::size], f"array<struct<{kind}>>"))
+            within = F.element_at(held([rows[i : i + size] for i in range(0, len(rows), size)], f"array<array<struct<{kind}>>>"), F.greatest(block, F.lit(1)))
+            return F.when(block == 0, F.lit(0)).otherwise((block - 1) * size + below(within))
 
         def reached(split: Sequence) -> SparkColumn:
             parts = []
@@ -138,7 +154,23 @@ class Storage:
         own = {cell_name(c) for c in table.cells}
         new = rows.select(*columns, F.monotonically_increasing_id().alias(SEQ))
         new = new.select(*keys, *(F.col(n).cast(spark_type(kinds[n])).alias(n) for n in own), SEQ)
-        region = self.region(manifest["splits"], [F.col(k) for k in keys])
+        region = self.region(manifest["splits"], [F.col(k) for k in keys], manifest["keys"])
+        # the source is evaluated once: what follows reads the staged rows, so all of it sees the same ones
+        staging, path = (f"{self.place(table)}/{what}-{uuid.uuid4().hex}" for what in ("staging", "data"))
+        try:
+            new.write.parquet(staging)
+            new = self.spark.read.schema(new.schema).parquet(staging)
+            self._merge(table, manifest, new, keys, own, region, merge_cells, path)
+            self._commit(table, manifest)
+        except Exception:
+            self.files.delete(path)
+            raise
+        finally:
+            self.files.delete(staging)
+
+    def _merge(self, table: Table, manifest: dict, new: DataFrame, keys: list[str], own: set[str], region: SparkColumn, merge_cells: bool, path: str) -> None:
+        """Write the touched regions, old rows and new ones, to path, and name them in the manifest."""
+        kinds = manifest["cells"]
         touched = [r[0] for r in new.select(region.alias("r")).distinct().collect()]  # one row a region at most
         old = self._rows(manifest, touched).withColumn(SEQ, F.lit(-1).cast("long"))
         both = old.unionByName(new, allowMissingColumns=True)
@@ -152,7 +184,6 @@ class Storage:
                 best = f"max_by(struct(`{n}` AS v), {SEQ}).v"
             cells.append(F.expr(best).alias(n))
         merged = both.groupBy(*keys).agg(*cells) if cells else both.select(*keys).distinct()
-        path = f"{self.place(table)}/data-{uuid.uuid4().hex}"
         ordered = merged.withColumn("region", region)
         if manifest["splits"]:
             ordered = ordered.repartitionByRange("region", *keys)
@@ -162,12 +193,59 @@ class Storage:
         for name in self.files.names(path):
             if name.startswith("region="):
                 manifest["regions"][name.removeprefix("region=")] = f"{path}/{name}"
-        self._commit(table, manifest)
 
-    def compact(self, table: Table) -> None:
-        """Delete folders and manifests that the newest manifest doesn't name."""
+    def split(self, table: Table, max_bytes: int) -> list[tuple]:
+        """Cut each region of more than max_bytes at quantiles of the key's leading column, as far as its values
+        allow. Only such regions are rewritten; returns the new split keys."""
         manifest = self.manifest(table)
-        used = {p.split("/")[-2] for p in manifest["regions"].values()}
-        for name in self.files.names(self.place(table)):
-            if name.startswith("data-") and name not in used:
+        keys = [f"key_{i}" for i in range(len(manifest["keys"]))]
+        added: dict[int, list] = {}
+        for r, place in manifest["regions"].items():
+            size = sum(n for _, n in self.files.sizes(place))
+            if size > max_bytes:
+                wanted = -(-size // max_bytes)
+                cuts = ", ".join(str(i / wanted) for i in range(1, wanted))
+                rows = self._rows(manifest, [int(r)])
+                if manifest["keys"][0] in ("string", "boolean"):  # no numeric quantiles: of the sorted distinct values
+                    ranked = rows.groupBy("key_0").count().orderBy("key_0").select("key_0", F.expr("sum(count) OVER (ORDER BY key_0)").alias("upto"))
+                    total = rows.count()
+                    found = [ranked.where(F.col("upto") >= total * i // wanted).agg(F.min("key_0")).first()[0] for i in range(1, wanted)]
+                else:
+                    found = rows.agg(F.expr(f"percentile_approx(key_0, array({cuts}), 10000)")).first()[0]
+                least = rows.agg(F.min("key_0")).first()[0]
+                added[int(r)] = sorted({v for v in found or [] if v is not None and v > least})
+        added = {r: v for r, v in added.items() if v}
+        fresh = sorted((v,) for values in added.values() for v in values if [v] not in manifest["splits"])
+        if not fresh:
+            return []
+        before = [tuple(x) for x in manifest["splits"]]
+        splits = sorted({*before, *fresh}, key=lambda x: x)
+        region = self.region([list(x) for x in splits], [F.col(k) for k in keys], manifest["keys"])
+        path = f"{self.place(table)}/data-{uuid.uuid4().hex}"
+        self._rows(manifest, list(added)).withColumn("region", region).repartitionByRange("region", *keys).sortWithinPartitions("region", *keys).write.partitionBy("region").parquet(path)
+        moved = {}
+        for r, place in manifest["regions"].items():
+            if int(r) not in added:  # as many new split keys lie below it as in the regions before it
+                moved[str(int(r) + sum(len(v) for other, v in added.items() if other < int(r)))] = place
+        for name in self.files.names(path):
+            if name.startswith("region="):
+                moved[name.removeprefix("region=")] = f"{path}/{name}"
+        manifest["splits"], manifest["regions"] = [list(x) for x in splits], moved
+        self._commit(table, manifest)
+        return fresh
+
+    def compact(self, table: Table, keep_seconds: float = 3600) -> None:
+        """Delete the manifests that were replaced more than keep_seconds ago, and all folders that none of
+        the others names. Readers that planned within that time still find their files, and writes younger than
+        that aren't disturbed."""
+        folder = f"{self.place(table)}/_manifests"
+        held = [(n, t) for n, t in self.files.ages(folder) if n.endswith(".json") and n.count(".") == 1]
+        limit = time.time() - keep_seconds
+        kept = [n for i, (n, _) in enumerate(held) if i == len(held) - 1 or held[i + 1][1] > limit]
+        used = {p.split("/")[-2] for n in kept for p in self.files.read(f"{folder}/{n}")["regions"].values()}
+        for n, _ in held:
+            if n not in kept:
+                self.files.delete(f"{folder}/{n}")
+        for name, changed in self.files.ages(self.place(table)):
+            if name.startswith(("data-", "staging-")) and name not in used and changed <= limit:
                 self.files.delete(f"{self.place(table)}/{name}")

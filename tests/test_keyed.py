@@ -106,7 +106,7 @@ def test_regions_are_pruned_and_sorted(s):
     assert s.table("r").count() == 260
 
 
-def test_no_exchange_on_the_bucketed_layout(spark, sf_dir):
+def test_no_exchange_when_grouping_by_the_leading_key(spark, sf_dir):
     from keystrata.operators.keyed import agg_key_prefix_no_shuffle
 
     df = agg_key_prefix_no_shuffle(spark, sf_dir)
@@ -148,3 +148,140 @@ def test_shell(s):
     assert shell.onecmd("quit;") and "DESCRIBE" in shell.completenames("des")
     text = out.getvalue()
     assert "OK" in text and "|1  |2  |" in text and "Time taken" in text and "LOAD [PARALL] DATA" in text and "Error:" in text
+
+
+def test_a_source_that_changes_between_evaluations_loses_no_row(s):
+    import random
+
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as ST
+
+    s.create(parse("CREATE TABLE nd (k int, v int, PRIMARY KEY (k)) MAPPED BY (ndp, COLS=[v=f.v])"), [(i,) for i in range(10, 200, 10)])
+    s.insert("nd", s.spark.range(200).selectExpr("cast(id as int)", "cast(id as int)"))
+    somewhere = F.udf(lambda: random.SystemRandom().randrange(200), ST.IntegerType()).asNondeterministic()
+    for _ in range(4):
+        s.insert("nd", s.spark.range(1).select(somewhere(), F.lit(-1)))
+        assert s.table("nd").count() == 200
+    assert not [n for n in s.storage.files.names(s.storage.place(s.catalog.get("nd"))) if n.startswith("staging-")]
+
+
+@pytest.fixture()
+def regions(s):
+    s.create(parse("CREATE TABLE r (k int, v int, PRIMARY KEY (k)) MAPPED BY (rp, COLS=[v=f.v])"), [(i,) for i in range(10, 200, 10)])
+    s.insert("r", s.spark.range(200).selectExpr("cast(id as int) k", "cast(id * 2 as int) v"))
+    return s
+
+
+SQL_RANGES = [
+    ("k = 7", key("k") == 7), ("7 >= k", key("k") <= 7), ("k IN (3, 77, 500)", key("k").isin(3, 77, 500)), ("k BETWEEN 18 AND 22", key("k").between(18, 22)),
+    ("NOT (k < 150 OR k = 170)", (key("k") >= 150) & (key("k") != 170)), ("k < 5 OR (k > 190 AND v > 3)", (key("k") < 5) | (key("k") > 190)), ("k < 5 AND k > 7", key("k").isin()),
+    (f"k IN ({', '.join(map(str, range(40, 52)))})", key("k").between(40, 51)), ("v = 14", None), ("k % 100 = 7", None),
+]
+
+
+@pytest.mark.parametrize("text, same", SQL_RANGES)
+def test_sql_reads_the_regions_that_the_api_reads(regions, text, same):
+    s = regions
+    found = s.sql(f"SELECT * FROM r WHERE {text}")
+    files = len(found.inputFiles())
+    if same is None:
+        assert files == 20
+    else:
+        assert files == len(s.regions("r", same))
+    got = rows(found)
+    s.spark.conf.set(PRUNE, "false")
+    assert got == rows(s.sql(f"SELECT * FROM r WHERE {text}")) and (text == "k < 5 AND k > 7" or got)
+    s.spark.conf.set(PRUNE, "true")
+    assert s.sql("SELECT count(*) FROM r").first()[0] == 200  # the view is whole again
+
+
+def test_sql_pruning_of_several_scans(regions):
+    s = regions
+    both = s.sql("SELECT a.k, b.v FROM r a JOIN r b ON a.v = b.v WHERE a.k = 7 AND b.k < 40")
+    assert len(both.inputFiles()) <= 5 and rows(both) == [(7, 14)]
+    assert rows(s.sql("SELECT count(*) FROM r WHERE k = 3 OR v > (SELECT max(v) FROM r WHERE k < 190)")) == [(11,)]
+    union = s.sql("SELECT k FROM r WHERE k = 5 UNION ALL SELECT k FROM r WHERE k = 105")
+    assert len(union.inputFiles()) == 2 and rows(union) == [(105,), (5,)]
+    assert s.sql("WITH x AS (SELECT * FROM r WHERE k < 20) SELECT sum(k) FROM x").first()[0] == 190
+    s.spark.sql("SELECT * FROM r").cache()
+    assert s.sql("SELECT v FROM r WHERE k = 150").first()[0] == 300
+    s.spark.catalog.clearCache()
+
+
+def test_sql_pruning_of_composite_and_text_keys(s):
+    s.create(parse("CREATE TABLE c (a string, b bigint, v double, PRIMARY KEY (a, b)) MAPPED BY (cp, COLS=[v=f.v])"), [("b",), ("b", 5), ("c",), ("d",)])
+    s.insert("c", s.spark.sql("SELECT explode(array('a', 'b', 'bz', 'c', 'd')), id, id / 2 FROM range(10)"))
+    for text, files in (("a = 'b' AND b < 5", 1), ("a = 'b'", 2), ("a LIKE 'b%'", 2), ("a > 'c'", 2), ("a IN ('a', 'd') AND b = 3", 2), ("b = 3", 5)):
+        found = s.sql(f"SELECT * FROM c WHERE {text}")
+        assert len({f.split("region=")[1].split("/")[0] for f in found.inputFiles()}) == files, text
+        assert found.count() == s.spark.sql(f"SELECT * FROM c WHERE {text}").count()
+
+
+def test_statements_see_what_other_sessions_did(regions, spark):
+    s = regions
+    other = KeyedSession(spark, s.storage.root)
+    assert s.sql("SELECT count(*) FROM r").first()[0] == 200
+    other.sql("INSERT INTO TABLE r VALUES (1000, 1)")
+    assert s.sql("SELECT count(*) FROM r").first()[0] == 201
+    other.storage.compact(other.catalog.get("r"), keep_seconds=0)
+    assert s.sql("SELECT count(*) FROM r WHERE k > 100").first()[0] == 100
+    other.sql("CREATE TABLE late (k int, v int, PRIMARY KEY (k)) MAPPED BY (lp, COLS=[v=f.v])")
+    assert s.sql("SELECT * FROM late").count() == 0
+    other.sql("DROP TABLE late")
+    with pytest.raises(Exception, match="late"):
+        s.sql("SELECT * FROM late")
+    s.spark.conf.set("keystrata.metadata.seconds", "3600")
+    s.sql("SELECT 1 FROM r")
+    other.sql("INSERT INTO TABLE r VALUES (1001, 1)")
+    assert s.sql("SELECT count(*) FROM r").first()[0] == 201
+    s.spark.conf.unset("keystrata.metadata.seconds")
+    assert s.sql("SELECT count(*) FROM r").first()[0] == 202
+
+
+def test_compact_keeps_what_was_replaced_a_moment_ago(regions):
+    s = regions
+    old = s.table("r")
+    s.sql("INSERT INTO TABLE r VALUES (3, -1)")
+    s.storage.compact(s.catalog.get("r"))
+    assert old.count() == 200
+    s.storage.compact(s.catalog.get("r"), keep_seconds=0)
+    assert s.table("r").count() == 200
+    folder = f"{s.storage.place(s.catalog.get('r'))}/_manifests"
+    assert len(s.storage.files.names(folder)) == 1
+
+
+def test_grouping_by_region_needs_no_exchange(s):
+    from pyspark.sql import functions as F
+
+    s.create(parse("CREATE TABLE g (a int, b int, v int, PRIMARY KEY (a, b)) MAPPED BY (gp, COLS=[v=f.v])"), [(3,), (6,)])
+    assert s.aggregate("g", ["a"], F.count("*").alias("n")).collect() == []
+    s.insert("g", s.spark.range(100).selectExpr("cast(id % 9 as int)", "cast(id as int)", "cast(id as int)"))
+    found = s.aggregate("g", ["a"], F.sum("v").alias("total"))
+    assert rows(found) == [(a, sum(range(a, 100, 9))) for a in range(9)]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError, match="begin with"):
+        s.aggregate("g", ["b"], F.count("*"))
+    s.create(parse("CREATE TABLE g2 (a int, b int, v int, PRIMARY KEY (a, b)) MAPPED BY (gp2, COLS=[v=f.v])"), [(3, 1)])
+    with pytest.raises(ValueError, match="a, b"):
+        s.aggregate("g2", ["a"], F.count("*"))
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_large_regions_are_split(s, kind):
+    s.create(parse(f"CREATE TABLE big (k {kind}, v int, PRIMARY KEY (k)) MAPPED BY (bp_{kind}, COLS=[v=f.v])"), [(cast(500),) for cast in [{"int": int, "string": lambda x: f"{x:05d}"}[kind]]])
+    key_of = "cast(id as int)" if kind == "int" else "lpad(id, 5, '0')"
+    s.insert("big", s.spark.range(3000).selectExpr(key_of, "cast(hash(id) as int)"))
+    table = s.catalog.get("big")
+    before = s.storage.manifest(table)
+    assert s.split_regions("big", 1 << 30) == []
+    added = s.split_regions("big", 6000)
+    after = s.storage.manifest(table)
+    assert added and len(after["splits"]) == 1 + len(added) and after["splits"] == sorted(after["splits"])
+    assert before["regions"]["0"] in after["regions"].values() or len(after["regions"]) > 3
+    splits = [x[0] for x in after["splits"]]
+    for r, _ in after["regions"].items():
+        low, high = s.storage.read(table, [int(r)]).selectExpr("min(k)", "max(k)").first()
+        assert (int(r) == 0 or splits[int(r) - 1] <= low) and (int(r) == len(splits) or high < splits[int(r)])
+    assert s.sql("SELECT count(*), count(DISTINCT k) FROM big").first()[:] == (3000, 3000)
+    s.insert("big", s.spark.range(1).selectExpr("cast(7 as int)" if kind == "int" else "'00007'", "-5"))
+    assert s.sql("SELECT v FROM big WHERE k = " + ("7" if kind == "int" else "'00007'")).first()[0] == -5
