@@ -85,14 +85,28 @@ def key_range_not(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared(spark, sf_dir, "orders").scan("orders_k", ~((key("o_orderkey") > 20) | ~(key("o_orderkey") != 7))).select("o_orderkey", "o_custkey")
 
 
-def keyed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A keyed table in plain SQL, joined with a temporary view."""
+def sql_key_point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain SQL: the optimised plan's key conditions choose the regions that are read."""
+    return shared(spark, sf_dir, "orders").sql(f"SELECT {COLUMNS['orders']} FROM orders_k WHERE o_orderkey = 100")
+
+
+def sql_key_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = shared(spark, sf_dir, "orders")
+    return s.sql("SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders_k WHERE o_orderkey BETWEEN 100 AND 400 AND o_totalprice > 1000 GROUP BY o_orderstatus")
+
+
+def sql_composite_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared(spark, sf_dir, "events").sql(f"SELECT {COLUMNS['events']} FROM events_k WHERE user_id IN (5, 11) AND event_id > 20")
+
+
+def sql_keyed_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two scans of one table, each with a range of its own."""
     s = shared(spark, sf_dir, "orders")
-    return s.sql("SELECT c.c_mktsegment AS segment, count(*) AS n FROM orders_k o JOIN src_customer c ON o.o_custkey = c.c_custkey WHERE o.o_orderkey < 2000 GROUP BY c.c_mktsegment")
+    return s.sql("SELECT a.o_orderkey AS k, count(*) AS n FROM orders_k a JOIN orders_k b ON a.o_custkey = b.o_custkey WHERE a.o_orderkey < 60 AND b.o_orderkey >= 60 GROUP BY a.o_orderkey")
 
 
-def keyed_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """keyed_join of every order."""
+def keyed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyed table in plain SQL, joined with a temporary view."""
     s = shared(spark, sf_dir, "orders")
     return s.sql("SELECT c.c_mktsegment AS segment, count(*) AS n FROM orders_k o JOIN src_customer c ON o.o_custkey = c.c_custkey GROUP BY c.c_mktsegment")
 
@@ -124,7 +138,7 @@ def upsert_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = fresh(spark, sf_dir)
     s.sql(f"CREATE TABLE t {ORDERS}")
     s.sql(f"INSERT INTO TABLE t SELECT {COLUMNS['orders']} FROM src_orders")
-    s.sql("INSERT INTO TABLE t SELECT o_orderkey, NULL, 'X', -o_totalprice, o_orderpriority FROM src_orders WHERE o_orderkey % 5 = 0")
+    s.sql("INSERT INTO TABLE t SELECT o_orderkey, NULL, 'X', -o_totalprice, o_orderpriority FROM src_orders WHERE o_orderstatus = 'F'")
     return s.table("t")
 
 
@@ -143,26 +157,7 @@ def load_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load_cell_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields that a later load leaves empty keep the older cell."""
-    s = fresh(spark, sf_dir)
-    s.sql(f"CREATE TABLE t {ORDERS}")
-    s.sql(f"INSERT INTO TABLE t SELECT {COLUMNS['orders']} FROM src_orders WHERE o_orderkey < 500")
-    path = _lines(s, "SELECT concat(o_orderkey, ',', if(o_orderkey % 2 = 0, '', '7'), ',Z,,') FROM src_orders WHERE o_orderkey % 3 = 0 AND o_orderkey < 600")
-    s.sql(f"LOAD DATA INPATH '{path}' INTO TABLE t")
-    return s.table("t")
-
-
-def load_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short lines, empty fields and blank lines; a row of NULLs is still a row."""
-    s = fresh(spark, sf_dir)
-    s.sql(f"CREATE TABLE t {ORDERS}")
-    path = _lines(s, "SELECT explode(array('', concat(o_orderkey, ''), concat(o_orderkey + 100, ',5,,'))) FROM src_orders WHERE o_orderkey < 50")
-    s.sql(f"LOAD DATA INPATH '{path}' INTO TABLE t")
-    return s.table("t")
-
-
-def load_cell_merge_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """load_cell_merge with every order inserted and loaded; a value says which cells are empty."""
+    """Fields that a later load leaves empty keep the older cell; a value says which are empty."""
     s = fresh(spark, sf_dir)
     s.sql(f"CREATE TABLE t {ORDERS}")
     s.sql(f"INSERT INTO TABLE t SELECT {COLUMNS['orders']} FROM src_orders")
@@ -171,8 +166,8 @@ def load_cell_merge_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.table("t")
 
 
-def load_nulls_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """load_nulls of every order; the second keys lie behind the first ones."""
+def load_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short lines, empty fields and blank lines; a row of NULLs is still a row. The second keys lie behind the first ones."""
     s = fresh(spark, sf_dir)
     s.sql(f"CREATE TABLE t {ORDERS}")
     path = _lines(s, "SELECT explode(array('', concat(o_orderkey, ''), concat(o_orderkey + shift, ',5,,'))) FROM src_orders CROSS JOIN (SELECT max(o_orderkey) + 1 AS shift FROM src_orders)")
@@ -265,28 +260,28 @@ def cross_table_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- layouts
 
 
-def bucketed(rows: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
-    """A copy laid out by a column, so that grouping by it (and more) needs no shuffle."""
-    spark = rows.sparkSession
-    rows.write.bucketBy(buckets, by).sortBy(by).option("path", scratch(spark, "bucketed")).mode("overwrite").saveAsTable(name)
-    return spark.table(name)
+def split_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of one region is cut into several; its rows stay."""
+    s = fresh(spark, sf_dir)
+    s.sql(f"CREATE TABLE t {ORDERS}")
+    s.sql(f"INSERT INTO TABLE t SELECT {COLUMNS['orders']} FROM src_orders")
+    s.split_regions("t", 1 << 14)
+    return s.sql(f"SELECT {COLUMNS['orders']} FROM t")
 
 
 def agg_key_prefix_no_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grouping by the leading key column on the keyed layout itself: no exchange, one task a region."""
     s = shared(spark, sf_dir, "events")
-    name = f"events_by_user_{abs(hash(sf_dir)) % 10**8}"
-    rows = s.spark.table(name) if s.spark.catalog.tableExists(name) else bucketed(s.table("events_k"), name, "user_id", REGIONS)
-    return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.min("event_id").alias("first"))
+    return s.aggregate("events_k", ["user_id"], F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.min("event_id").alias("first"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         key_point_get, key_multi_get, key_range_scan, key_only_projection, composite_key_prefix, composite_key_tuple_or, dead_predicate,
-        key_range_not, keyed_join, keyed_join_all, create_insert_select, insert_values, upsert_overwrite, load_csv, load_cell_merge, load_nulls,
-        load_cell_merge_all, load_nulls_all,
+        key_range_not, sql_key_point_get, sql_key_range_scan, sql_composite_prefix, sql_keyed_self_join, keyed_join, create_insert_select, insert_values, upsert_overwrite, load_csv, load_cell_merge, load_nulls,
         load_presplit_regions, alter_add, alter_drop, drop_and_map_again, describe_table, show_tables, stringformat_roundtrip,
-        two_tables_one_store, cross_table_insert, agg_key_prefix_no_shuffle,
+        two_tables_one_store, cross_table_insert, split_regions, agg_key_prefix_no_shuffle,
     )
 }
 _O = COLUMNS["orders"]
@@ -298,17 +293,19 @@ ORACLES = {
     "composite_key_prefix": f"SELECT {COLUMNS['events']} FROM events WHERE user_id = 5",
     "composite_key_tuple_or": f"SELECT {COLUMNS['events']} FROM events WHERE (user_id = 3 AND event_id < 500) OR (user_id = 8 AND event_id >= 200)",
     "dead_predicate": "SELECT o_orderkey FROM orders WHERE o_orderkey < 8 AND o_orderkey > 8",
+    "sql_key_point_get": f"SELECT {_O} FROM orders WHERE o_orderkey = 100",
+    "sql_key_range_scan": "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderkey BETWEEN 100 AND 400 AND o_totalprice > 1000 GROUP BY o_orderstatus",
+    "sql_composite_prefix": f"SELECT {COLUMNS['events']} FROM events WHERE user_id IN (5, 11) AND event_id > 20",
+    "sql_keyed_self_join": "SELECT a.o_orderkey AS k, count(*) AS n FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey WHERE a.o_orderkey < 60 AND b.o_orderkey >= 60 GROUP BY a.o_orderkey",
+    "split_regions": f"SELECT {_O} FROM orders",
     "key_range_not": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey <= 20 AND o_orderkey <> 7",
-    "keyed_join": "SELECT c_mktsegment AS segment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey < 2000 GROUP BY c_mktsegment",
-    "keyed_join_all": "SELECT c_mktsegment AS segment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment",
+    "keyed_join": "SELECT c_mktsegment AS segment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment",
     "create_insert_select": "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_orderstatus",
     "insert_values": "SELECT CAST(k AS INT) AS k, s, b, CAST(t AS TINYINT) AS t, CAST(h AS SMALLINT) AS h, CAST(f AS FLOAT) AS f, CAST(d AS DOUBLE) AS d, CAST(l AS BIGINT) AS l FROM (VALUES (1, 'it''s', true, 12, -300, 0.5, 2.25, 9000000000), (2, NULL, false, NULL, 7, NULL, -1000, NULL), (-3, NULL, NULL, 97, NULL, 1, 0.5, 0)) v(k, s, b, t, h, f, d, l)",
-    "upsert_overwrite": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey END AS o_custkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 5 = 0 THEN -o_totalprice ELSE o_totalprice END AS o_totalprice, o_orderpriority FROM orders",
+    "upsert_overwrite": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_custkey END AS o_custkey, CASE WHEN o_orderstatus = 'F' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN -o_totalprice ELSE o_totalprice END AS o_totalprice, o_orderpriority FROM orders",
     "load_csv": f"SELECT {_O} FROM orders",
-    "load_cell_merge": "SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 3 THEN 7 WHEN o_orderkey < 500 THEN o_custkey END AS o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey < 500 THEN o_totalprice END AS o_totalprice, CASE WHEN o_orderkey < 500 THEN o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderkey < 500 OR (o_orderkey < 600 AND o_orderkey % 3 = 0)",
-    "load_nulls": "SELECT o_orderkey, CAST(NULL AS BIGINT) AS o_custkey, CAST(NULL AS VARCHAR) AS o_orderstatus, CAST(NULL AS DOUBLE) AS o_totalprice, CAST(NULL AS VARCHAR) AS o_orderpriority FROM orders WHERE o_orderkey < 50 UNION ALL SELECT o_orderkey + 100, 5, NULL, NULL, NULL FROM orders WHERE o_orderkey < 50",
-    "load_cell_merge_all": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN o_custkey ELSE 7 END AS o_custkey, 'Z' AS o_orderstatus, o_totalprice, o_orderpriority FROM orders",
-    "load_nulls_all": "SELECT o_orderkey, CAST(NULL AS BIGINT) AS o_custkey, CAST(NULL AS VARCHAR) AS o_orderstatus, CAST(NULL AS DOUBLE) AS o_totalprice, CAST(NULL AS VARCHAR) AS o_orderpriority FROM orders UNION ALL SELECT o_orderkey + (SELECT max(o_orderkey) + 1 FROM orders), 5, NULL, NULL, NULL FROM orders",
+    "load_cell_merge": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN o_custkey ELSE 7 END AS o_custkey, 'Z' AS o_orderstatus, o_totalprice, o_orderpriority FROM orders",
+    "load_nulls": "SELECT o_orderkey, CAST(NULL AS BIGINT) AS o_custkey, CAST(NULL AS VARCHAR) AS o_orderstatus, CAST(NULL AS DOUBLE) AS o_totalprice, CAST(NULL AS VARCHAR) AS o_orderpriority FROM orders UNION ALL SELECT o_orderkey + (SELECT max(o_orderkey) + 1 FROM orders), 5, NULL, NULL, NULL FROM orders",
     "load_presplit_regions": "SELECT CAST(CASE WHEN o_orderkey < 10 THEN 0 WHEN o_orderkey < 20 THEN 1 WHEN o_orderkey < 40 THEN 2 WHEN o_orderkey < 80 THEN 3 WHEN o_orderkey < 160 THEN 4 WHEN o_orderkey < 320 THEN 5 ELSE 6 END AS INT) AS region, count(*) AS n, min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders GROUP BY 1",
     "alter_add": "SELECT n_nationkey AS k, n_name AS a, CASE WHEN n_nationkey < 5 THEN CAST(n_nationkey AS BIGINT) * 10 END AS z FROM nation",
     "alter_drop": "SELECT n_nationkey AS k, n_regionkey AS z FROM nation",

@@ -22,7 +22,7 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     "not_in": ("SELECT n_nationkey, n_name FROM {nation} WHERE n_regionkey NOT IN (0, 2)", SAME),
     "between": ("SELECT p_partkey, p_size FROM {part} WHERE p_size BETWEEN 10 AND 20", SAME),
     "not_between": ("SELECT p_partkey, p_size FROM {part} WHERE p_size NOT BETWEEN 5 AND 45", SAME),
-    "like": ("SELECT p_partkey, p_type FROM {part} WHERE p_type LIKE '%A%' AND p_name LIKE '%1_%'", SAME),
+    "like": ("SELECT p_partkey, p_type FROM {part} WHERE p_type LIKE '%A%' AND p_name LIKE '%_ bo_t'", SAME),
     "not_like": ("SELECT p_partkey, p_brand FROM {part} WHERE p_brand NOT LIKE '%1'", SAME),
     "is_null": ("SELECT c_custkey FROM (SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM {customer}) t WHERE k IS NULL", SAME),
     "is_not_null": ("SELECT count(*) AS n FROM (SELECT nullif(c_nationkey, 3) AS k FROM {customer}) t WHERE k IS NOT NULL", SAME),
