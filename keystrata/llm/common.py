@@ -112,6 +112,15 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*(F.col(c) for c in columns))
 
 
+def carried(docs: DataFrame, own: tuple[str, ...] = ("doc_id", "text", "n_chars")) -> tuple[DataFrame, list[Column]]:
+    """docs with the columns that a cleaning stage works on, and all others as one struct, so that their names can't
+    clash with what the stage adds; and the columns that make docs again."""
+    kept = [c for c in docs.columns if c in own]
+    others = [c for c in docs.columns if c not in own]
+    held = docs.select(*kept, *([F.struct(*(F.col(f"`{c}`") for c in others)).alias("carried")] if others else []))
+    return held, [F.col(c) if c in kept else F.col("carried").getField(c).alias(c) for c in docs.columns]
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of consecutive rows whose texts take at most limit bytes together, or one row."""
     for batch in batches:

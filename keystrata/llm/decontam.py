@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import chunks, received, send, settle, prepare
+from .common import carried, chunks, received, send, settle, prepare
 from .fmindex import FMIndex
 
 WINDOW = 13
@@ -152,7 +152,9 @@ def digest(found: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Documents without the hit spans: from a span's first word to the end of its last. Documents of
-    which nothing is left go; those without hits stay as they are. n_chars follows the text."""
+    which nothing is left go; those without hits stay as they are. n_chars follows the text; all other columns
+    stay, whatever they are called."""
     prepare(docs)
-    found = find(docs, benchmark, window, keep=tuple(docs.columns))
-    return words.cut_spans(found, words.NOT_ALNUM, docs.schema)
+    held, back = carried(docs)
+    found = find(held, benchmark, window, keep=tuple(held.columns))
+    return words.cut_spans(found, words.NOT_ALNUM, held.schema).select(*back)

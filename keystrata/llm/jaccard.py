@@ -308,7 +308,7 @@ def join(docs: DataFrame, k: int = SHINGLE, similar: tuple[int, int] = SIMILAR)
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """One document of each component, that of the smallest id (null ids last, then the least row_key), and
-    one row of each document without words. Repeated and null ids make no difference to what is linked."""
+    one row of each document without words. Repeated and null ids make no difference to what is linked; all columns stay, whatever they are called."""
     found = grouped_rows(docs, k, similar)
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"]
     chosen = found.where("n_shingles > 0").groupBy("component").agg(best.alias("row_key")).select("row_key")

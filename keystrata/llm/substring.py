@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import chunks, erase, release, row_key, prepare, store
+from .common import carried, chunks, erase, release, row_key, prepare, store
 
 WINDOW, PHRASE = 35, 12
 #: Phrases of one automaton; a shard with more takes several, one after the other.
@@ -210,6 +210,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Documents without the covered words; those of which nothing is left go, the others without such
-    words stay as they are. n_chars follows the text."""
+    words stay as they are. n_chars follows the text; all other columns stay, whatever they are called."""
     prepare(docs)
-    return words.cut_spans(locate(docs, window, keep=tuple(docs.columns)), words.WHITE, docs.schema)
+    held, back = carried(docs)
+    return words.cut_spans(locate(held, window, keep=tuple(held.columns)), words.WHITE, held.schema).select(*back)

@@ -7,12 +7,16 @@ A token scores the largest log-odds of its parts less ``z``-scaled doubt, any ot
 
 Scoring scans each text once: the linear-time algorithm for all maximal scoring segments works on the
 positive tokens and the losses between them. A segment's score S over n tokens is judged by extreme-value
-theory: about K n exp(-lambda S) segments that good are expected by chance, with lambda from the training
-background. A logistic curve over these turns them into the document's score.
+theory: about K n exp(-lambda S) segments that good are expected by chance. lambda follows from the scores and
+frequencies of the parts in the training background, K from the best segments of its texts. A logistic curve over these turns them into the document's score.
 
 Defined cases: null and empty texts have no segments and get the score of a text without any; labels that
 are null or neither 0 nor 1 teach nothing, repeated labels of an id count once (1 before 0); without
-usable labels every score is the share of toxic ones, or 0; other columns are ignored.
+usable labels every score is the share of toxic ones, or 0; of a repeated labelled id one text teaches, and repeated
+rows each get the same score; very long texts are scanned whole, in steps linear in their tokens; of equal
+sums before it a segment takes in the nearest only, so equal scores leave the shorter segment; an empty table of documents
+gives an empty result, an empty training part a model that rejects nothing; other columns are ignored or, in
+reject(), carried along untouched, and may have any names.
 """
 
 from __future__ import annotations
@@ -25,13 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import chunks, received, remainder, send, prepare
+from .common import carried, chunks, received, remainder, send, prepare
 
 TRAIN_ROWS = 20_000
 #: Weight of the prior as a share of all counts; least z-score and toxic documents of a significant part.
 PRIOR, LEAST_Z, LEAST_DOCUMENTS = 0.05, 3.0, 4
-#: Most parts that the model keeps, those of the largest z-scores.
-PARTS = 20_000
 DOUBT = 1.0
 CHANCE = 0.05
 THRESHOLD = 0.3
@@ -60,8 +62,9 @@ class Model:
     scores: np.ndarray = field(default_factory=lambda: np.zeros(0))
     loss: float = 0.05
     rate: float = 1.0  # lambda
-    constant: float = 0.1  # K
+    constant: float = 0.1  # K, as expected without a background
     weights: tuple[float, float, float] = (0.0, 0.0, -20.0)
+    steps: int = 0  # that searches for segments have taken
 
     def token_scores(self, split: words.Words) -> tuple[np.ndarray, np.ndarray]:
         """Positions and scores of the tokens with a significant part."""
@@ -75,23 +78,28 @@ class Model:
         return at, best[at]
 
     def segments(self, at: list[int], score: list[float]) -> list[tuple[int, int, float]]:
-        """All maximal scoring segments of one text, as (first token, last token + 1, score)."""
-        kept: list[tuple[int, int, float, float]] = []  # with the sums before and after
+        """All maximal scoring segments of one text, as (first token, last token + 1, score). Each kept segment
+        is linked to the last one before it whose sum before is smaller, and searches follow the links: what one
+        search passes over, no later one meets again."""
+        kept: list[tuple[int, int, float, float, int]] = []  # with the sums before and after, and the link
         total, upto = 0.0, None
         for i, s in zip(at, score):
             total -= self.loss * (i if upto is None else i - upto)
             start, before = i, total
             total, upto = total + s, i + 1
+            j = len(kept) - 1
             while True:
-                j = len(kept) - 1
                 while j >= 0 and kept[j][2] >= before:
-                    j -= 1
+                    self.steps += 1
+                    j = kept[j][4]
+                self.steps += 1
                 if j < 0 or kept[j][3] >= total:
-                    kept.append((start, i + 1, before, total))
+                    kept.append((start, i + 1, before, total, j))
                     break
-                start, before = kept[j][0], kept[j][2]
+                start, _, before, _, link = kept[j]
                 del kept[j:]
-        return [(a, b, z - y) for a, b, y, z in kept]
+                j = link
+        return [(a, b, z - y) for a, b, y, z, _ in kept]
 
     def surprise(self, score, n):
         """-ln of the number of segments of at least that score expected by chance in n tokens."""
@@ -110,10 +118,12 @@ class Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, divisor: int, held: int, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(text, label) of at most so many labelled documents outside the held-out fold."""
+    """(text, label) of at most so many labelled documents outside the held-out fold; of several texts of one id
+    the one of the smallest hash."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (remainder("doc_id", divisor) != held))
     chosen = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most TRAIN_ROWS small rows
+    found = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"), F.max("label").alias("label"))
     return found.groupBy("text").agg(F.max("label").alias("label"))  # copies teach once
 
 
@@ -156,6 +166,14 @@ def _rate(share: np.ndarray, scores: np.ndarray, loss: float) -> float:
     return (low + high) / 2
 
 
+def fit_constant(background: np.ndarray, rate: float) -> float:
+    """K, from the best segment's score (0: none) and the number of tokens of each background text: texts of n
+    tokens stay below a score S with chance exp(-K n exp(-rate S)), which is likeliest at this K. One more text, of
+    ten tokens and a segment that chance has made, stands for what is expected without a background."""
+    score, n = background[:, 0], background[:, 1]
+    return float((1 + (score > 0).sum()) / (10 + (n * np.exp(-rate * score)).sum()))
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:
     """Weights and intercept by damped Newton steps."""
     x = np.column_stack((x, np.ones(len(x))))
@@ -182,13 +200,15 @@ def fit(docs: DataFrame, labels: DataFrame, divisor: int = 4, held: int = 2, row
         odds = F.log(a / (toxic + weight - a)) - F.log(b / (other + weight - b))
         doubt = F.sqrt(1 / a + 1 / b)
         found = counts.select("part", "other", odds.alias("odds"), doubt.alias("doubt"), "toxic").where(f"toxic >= {LEAST_DOCUMENTS} and odds >= {LEAST_Z} * doubt")
-        found = found.orderBy(F.desc(F.col("odds") / F.col("doubt")), "part").limit(PARTS).toPandas()
+        found = found.toPandas()  # parts of LEAST_DOCUMENTS toxic documents or more, of the TRAIN_ROWS that teach
         part = found["part"].to_numpy().astype(np.int64).view(words.U)
         order = np.argsort(part)
         model.parts, model.scores = part[order], np.maximum((found["odds"] - DOUBT * found["doubt"]).to_numpy()[order], 0.1)
         share = (found["other"].to_numpy()[order] + 0.1) / other
         model.loss = float(max(0.05, 2 * (share * model.scores).sum()))  # the background drifts down
         model.rate = _rate(share, model.scores, model.loss)
+    background = [(r.top, r.n) for r in _evidence(train.where("label = 0"), model, ["label"]).select("top", "n").collect()]  # TRAIN_ROWS at most
+    model.constant = fit_constant(np.array(background).reshape(-1, 2), model.rate)
     evidence = np.array([(r.best, r.sum, r.label) for r in _evidence(train, model, ["label"]).collect()]).reshape(-1, 3)  # TRAIN_ROWS at most
     y = evidence[:, 2]
     if len(y) and 0 < y.sum() < len(y):
@@ -200,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, divisor: int = 4, held: int = 2, row
 
 
 def _evidence(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Columns keep, best, sum and segments (significant ones) of each row."""
+    """Columns keep, best, sum, top (the best segment's score), n (tokens) and segments (significant ones) of each row."""
     shared = send(rows.sparkSession, model)
 
     def run(batches):
@@ -210,17 +230,18 @@ def _evidence(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             split = s.split(batch.column("text"))
             at, score = m.token_scores(split)
             cuts = np.searchsorted(at, split.bounds).tolist()
-            best, total, segments = np.zeros(batch.num_rows), np.zeros(batch.num_rows), [[] for _ in range(batch.num_rows)]
+            best, total, top, segments = *np.zeros((3, batch.num_rows)), [[] for _ in range(batch.num_rows)]
             for i, n in enumerate(split.counts.tolist()):
                 if cuts[i] < cuts[i + 1]:
                     own = m.segments((at[cuts[i] : cuts[i + 1]] - split.bounds[i]).tolist(), score[cuts[i] : cuts[i + 1]].tolist())
                     best[i], total[i] = m.evidence(own, n)
+                    top[i] = max(v for _, _, v in own)
                     segments[i] = [{"start": a, "end": b, "score": v} for a, b, v in own if m.surprise(v, n) > -np.log(CHANCE)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(best), pa.array(total), pa.array(segments, kind), pa.array(m.score(np.column_stack((best, total))))], [*keep, "best", "sum", "segments", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(best), pa.array(total), pa.array(top), pa.array(split.counts, pa.int64()), pa.array(segments, kind), pa.array(m.score(np.column_stack((best, total))))], [*keep, "best", "sum", "top", "n", "segments", "score"])
 
     held = rows.select(*keep).schema
     schema = held.simpleString()[7:-1].replace(":", ": ")
-    return rows.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{schema}, best double, sum double, segments array<struct<start: int, end: int, score: double>>, score double")
+    return rows.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{schema}, best double, sum double, top double, n long, segments array<struct<start: int, end: int, score: double>>, score double")
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -233,6 +254,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that are not predicted toxic, unchanged."""
-    out = score(docs, fit(docs, labels), keep=tuple(docs.columns))
-    return out.where("predicted = 0").select(*docs.columns)
+    """Documents that are not predicted toxic, unchanged with all their columns, whatever these are called."""
+    held, back = carried(docs)
+    out = score(held, fit(docs, labels), keep=tuple(held.columns))
+    return out.where("predicted = 0").select(*back)

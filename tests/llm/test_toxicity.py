@@ -91,3 +91,52 @@ def test_query(spark, sf_dir):
     rows = op6_toxicity(spark, sf_dir).collect()
     assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.3) for r in rows)
+
+
+def test_steps_are_linear():
+    r = random.Random(8)
+    n = 1_000_000
+    falling = list(range(0, n, 40)), [0.1] * (n // 40)  # each sum is lower than all before it
+    rising = list(range(0, n, 2)), [1.0, 0.2] * (n // 4)
+    mixed = sorted(r.sample(range(n), 200_000)), [r.choice([0.1, 0.3, 3.0]) for _ in range(200_000)]
+    for at, score in (falling, rising, mixed):
+        model = toxicity.Model(loss=0.13)
+        model.segments(at, score)
+        assert model.steps <= 4 * len(at)
+
+
+def test_constant_of_a_simulated_background():
+    """Best scores drawn by the law of extreme values are given back their K."""
+    r = np.random.default_rng(5)
+    n, rate, k = r.integers(50, 400, 4000), 1.7, 0.04
+    top = np.log(k * n / r.exponential(size=len(n))) / rate
+    got = toxicity.fit_constant(np.column_stack((np.maximum(top, 0), n)), rate)
+    assert abs(got - k) < 0.004
+    assert toxicity.fit_constant(np.zeros((0, 2)), rate) == 0.1
+
+
+def test_score_of_documents_from_their_segments(spark):
+    """Every document's score, recomputed from the model by the definition of segments, token by token."""
+    docs, labels = corpus(200)
+    d = spark.createDataFrame(docs, DOCS)
+    model = toxicity.fit(d, spark.createDataFrame(labels, LABELS))
+    assert model.constant != 0.1 and len(model.parts)
+    odds = dict(zip(model.parts.tolist(), model.scores.tolist()))
+    got = {r.doc_id: r.toxicity for r in toxicity.score(d, model).collect()}
+    for i, text, _ in docs[:60]:
+        split = toxicity.splitter().split(toxicity.pa.array([text]))
+        line = [-model.loss] * len(split.hashes)
+        for at, hashes in toxicity.parts(split):
+            for place, h in zip(at.tolist(), hashes.tolist()):
+                line[place] = max(line[place], odds.get(h, -model.loss))
+        each = [model.rate * s - np.log(model.constant * len(line)) for *_, s in brute_segments(line)]
+        best = min(max(max(each) + 10, 0), 40) if each else 0.0
+        total = np.log1p(sum(e for e in each if e > -np.log(toxicity.CHANCE)))
+        a, b, c = model.weights
+        assert abs(got[i] - 1 / (1 + np.exp(-np.clip(a * best + b * total + c, -35, 35)))) < 1e-9
+
+
+def test_texts_of_one_id_teach_once(spark):
+    d = spark.createDataFrame([(1, f"text number {i}") for i in range(50)] + [(2, "other")], "doc_id long, text string")
+    la = spark.createDataFrame([(1, 1), (2, 0)], LABELS)
+    assert toxicity.training_rows(d, la, "toxic", 4, 9).count() == 2
