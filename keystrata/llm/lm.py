@@ -21,7 +21,8 @@ Counts of the most frequent words (``HEAD`` of them at most) go to every task; a
 are looked up by a join, in which each row stands for all uses of a word in a document.
 
 Defined cases: null texts are scored as empty ones, which have the end token only; rows are told apart
-where they lie, so repeated rows and null ids each get a row; without training rows each token has the
+where they lie, so repeated rows and null ids each get a row; a text of any length is scored whole; of words of
+equal counts those of the smaller hash are the frequent ones; without training rows each token has the
 probability 1 of an unseen word in an empty corpus for the base, and a class's share for the model; other
 columns are ignored; an empty table gives an empty table.
 """
@@ -41,7 +42,10 @@ WORDS, ENDINGS = 96, 30
 END = WORDS + ENDINGS  # the class of the end token; START stands before a text
 CLASSES, START = END + 1, END
 HEAD = 1 << 18
-NEWTON, RIDGE, FARTHEST = 8, 1.0, 4.0
+#: Bytes of text whose counts are put together before they leave Python.
+COUNTED_BYTES = 4 << 20
+#: Steps of a word's fit, and the share of a count that bends it.
+STEPS, BEND, RIDGE, FARTHEST = 6, 0.25, 1.0, 4.0
 DIMENSIONS, NOISE, RATE = 24, 10, 0.08
 SETTLE_STEPS, SETTLED = 100, 3e-4
 
@@ -157,7 +161,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         s = splitter()
-        for batch in chunks(batches, "text", 8 << 20):
+        for batch in chunks(batches, "text", COUNTED_BYTES):
             split = s.split(batch.column("text"))
             hashes, first, n = np.unique(split.hashes, return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ending(split)[first].astype(np.int8)), pa.array(n, pa.int64())], ["hash", "ending", "n"])
@@ -167,44 +171,52 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def count_pairs(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(hash, ending, n, classes, uses): for each training word that shares its class, how often it stands
-    behind each class. A word has CLASSES entries at most."""
+    """(hash, cells, uses): for each training word that shares its class, how often it stands behind each
+    class. A cell is the class before times ENDINGS plus the word's ending; a word has CLASSES at most."""
     shared = send(docs.sparkSession, lexicon)
 
     def run(batches):
         s, held = splitter(), received(shared)
-        for batch in chunks(batches, "text", 8 << 20):
+        for batch in chunks(batches, "text", COUNTED_BYTES):
             split = s.split(batch.column("text"))
             classes = held.classes_of(split)[0]
             line, places = with_ends(split, classes)
             own = np.flatnonzero(classes >= WORDS)
             before = (contexts(split, line) % CLASSES)[places[own]]
             hashes = split.hashes[own]
-            order = np.lexsort((before, hashes))
-            h, b, e = hashes[order], before[order], classes[own][order] - WORDS
-            new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (b[1:] != b[:-1])))[: len(h)])
-            n = np.diff(np.append(new, len(h)))
-            yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(e[new].astype(np.int8)), pa.array(b[new].astype(np.int16)), pa.array(n, pa.int64())], ["hash", "ending", "before", "n"])
+            cell = before * ENDINGS + classes[own] - WORDS
+            _, first, n = np.unique(words.mix(hashes + cell.astype(words.U) * words.U(0x9FB21C651E98DF25)), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), pa.array(cell[first].astype(np.int16)), pa.array(n, pa.int64())], ["hash", "cell", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "hash long, ending byte, before short, n long")
-    summed = rows.groupBy("hash", "before").agg(F.first("ending").alias("ending"), F.sum("n").alias("n"))
-    both = F.collect_list(F.struct("before", "n"))
-    return summed.groupBy("hash").agg(F.first("ending").alias("ending"), F.sum("n").alias("n"), both.alias("pairs")).select("hash", "ending", "n", F.col("pairs.before").alias("classes"), F.col("pairs.n").alias("uses"))
+    rows = docs.select("text").mapInArrow(run, "hash long, cell short, n long")
+    summed = rows.groupBy("hash", "cell").agg(F.sum("n").alias("n"))
+    return summed.groupBy("hash").agg(F.collect_list(F.struct("cell", "n")).alias("pairs")).select("hash", F.col("pairs.cell").alias("cells"), F.col("pairs.n").alias("uses"))
 
 
 def fit_words(uses: np.ndarray, n: np.ndarray, ending: np.ndarray, shares: np.ndarray, tokens: np.ndarray, contexts_: np.ndarray) -> np.ndarray:
     """Weights of words within their classes, one row a word, for contexts_ (a row for each class before,
     its first column the bias). The noise of a class is its words by their counts, in expected numbers, so
-    noise-contrastive estimation splits into one logistic regression for each word: Newton's steps."""
-    weights = np.zeros((len(n), contexts_.shape[1]))
-    outer = (contexts_[:, :, None] * contexts_[:, None, :]).reshape(len(contexts_), -1)
-    noise = NOISE * tokens[ending] * shares[:, None]
-    for _ in range(NEWTON):
-        chance = 1 / (1 + np.exp(np.log(NOISE) - np.clip(weights @ contexts_.T, -20, 20)))
+    noise-contrastive estimation splits into one logistic regression for each word. Its steps share the curvature
+    of the class: what a word bends by is about its count times the mean outer product of the class's contexts,
+    whose axes are found once for each class."""
+    weights = np.zeros((len(n), contexts_.shape[1]), dtype=np.float32)
+    behind = tokens / np.maximum(tokens.sum(axis=1, keepdims=True), 1e-9)
+    axes, lengths = {}, np.zeros_like(weights)
+    for e in np.unique(ending).tolist():
+        bend, axis = np.linalg.eigh((contexts_ * behind[e][:, None]).T @ contexts_)
+        axes[e] = axis.astype(np.float32)
+        lengths[ending == e] = np.maximum(bend, 0)
+    uses, tokens, contexts_, shares = (x.astype(np.float32) for x in (uses, tokens, contexts_, shares))
+    lengths = BEND * (n[:, None] + NOISE * (tokens.sum(axis=1)[ending] * shares)[:, None]) * lengths + np.float32(RIDGE)
+    lengths = lengths.astype(np.float32)
+    noise = np.float32(NOISE) * tokens[ending] * shares[:, None]
+    parts = [(np.flatnonzero(ending == e), axis) for e, axis in axes.items()]
+    for _ in range(STEPS):
+        chance = 1 / (1 + np.exp(np.float32(np.log(NOISE)) - np.clip(weights @ contexts_.T, -20, 20)))
         slope = (uses * (1 - chance) - noise * chance) @ contexts_ - RIDGE * weights
-        bend = (((uses + noise) * chance * (1 - chance)) @ outer).reshape(len(n), contexts_.shape[1], -1)
-        bend += RIDGE * np.eye(contexts_.shape[1])
-        step = np.linalg.solve(bend, slope[:, :, None])[:, :, 0]
+        step = np.empty_like(slope)
+        for at, axis in parts:
+            step[at] = (slope[at] @ axis / lengths[at]) @ axis.T
         weights += step / np.maximum(np.linalg.norm(step, axis=1, keepdims=True) / FARTHEST, 1)
     return weights
 
@@ -218,13 +230,14 @@ def learn_words(pairs: DataFrame, places: np.ndarray, tokens: np.ndarray, mass:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                n, ending = part.column("n").to_numpy(), part.column("ending").to_numpy().astype(np.int64)
-                uses = np.zeros((len(n), CLASSES))
-                lists = part.column("classes")
-                rows = np.repeat(np.arange(len(n)), np.diff(lists.offsets.to_numpy()))
-                uses[rows, lists.flatten().to_numpy()] = part.column("uses").flatten().to_numpy()
+                lists = part.column("cells")
+                sizes = np.diff(lists.offsets.to_numpy())
+                cell = lists.flatten().to_numpy().astype(np.int64)
+                uses = np.zeros((part.num_rows, CLASSES), dtype=np.float32)
+                uses[np.repeat(np.arange(part.num_rows), sizes), cell // ENDINGS] = part.column("uses").flatten().to_numpy()
+                n, ending = uses.sum(axis=1).astype(np.int64), cell[np.cumsum(sizes) - sizes] % ENDINGS
                 weights = fit_words(uses, n, ending, (n + 1) / mass[ending], tokens, contexts_).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([part.column("hash"), part.column("ending"), part.column("n"), vectors_of(weights)], ["hash", "ending", "n", "weights"])
+                yield pa.RecordBatch.from_arrays([part.column("hash"), pa.array(ending.astype(np.int8)), pa.array(n), vectors_of(weights)], ["hash", "ending", "n", "weights"])
 
     return pairs.mapInArrow(run, "hash long, ending byte, n long, weights array<float>")
 
@@ -268,7 +281,7 @@ def count_trigrams(docs: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.nd
 
     def run(batches):
         s, held = splitter(), received(shared)
-        for batch in chunks(batches, "text", 8 << 20):
+        for batch in chunks(batches, "text", COUNTED_BYTES):
             split = s.split(batch.column("text"))
             line, _ = with_ends(split, held.classes_of(split)[0])
             number, n = np.unique(contexts(split, line) * CLASSES + line, return_counts=True)
@@ -313,7 +326,7 @@ def score(docs: DataFrame, training: DataFrame, keep: tuple[str, ...] = ("doc_id
     if near.num_rows:
         at, _ = lexicon.find(near["hash"].to_numpy().view(words.U))
         lexicon.weights[at] = near["weights"].combine_chunks().flatten().to_numpy().reshape(len(at), -1)
-    rest = counts.where(~frequent).select("hash", F.col("n").alias("count")).join(learned.select("hash", "weights"), "hash", "left")
+    rest = learned.where(~frequent).select("hash", F.col("n").alias("count"), "weights")  # all of these share a class
     shared = send(spark, (lexicon, table_of(*model), with_bias(model[1]), log_sums, mass, total, distinct, ends))
     names = {c: f"keep_{i}" for i, c in enumerate(keep)}
     rows = docs.select(*(F.col(c).alias(n) for c, n in names.items()), F.col("text").alias("text"))
@@ -322,7 +335,9 @@ def score(docs: DataFrame, training: DataFrame, keep: tuple[str, ...] = ("doc_id
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
     parts = rows.mapInArrow(_scores(shared, [*names.values()]), f"{schema}, {columns}")
     # words that aren't frequent: their part of the scores follows from their count
-    joined = parts.join(rest, "hash", "left")
+    # a text's own row has no word; its number stands in, so that these rows don't meet under one key
+    place = [F.coalesce("hash", "row_id").alias("place"), F.col("hash").isNotNull().alias("is_word")]
+    joined = parts.select("*", *place).join(rest.select(F.col("hash").alias("place"), F.lit(True).alias("is_word"), "count", "weights"), ["place", "is_word"], "left")
     times, there = F.col("uses"), F.coalesce("count", F.lit(0))
     gained = F.when(F.col("hash").isNotNull(), times * F.log10(there + 1.0)).otherwise(0.0)
     known = F.when(F.col("count").isNotNull(), times).otherwise(0)
@@ -344,7 +359,7 @@ def _scores(shared, keep: list[str]):
     def run(batches):
         lexicon, table, contexts_, log_sums, mass, total, distinct, ends = received(shared)
         flat, log_mass = table.reshape(-1), np.log10(mass)
-        scale = np.log10(total + distinct + 1)
+        scale, near = np.log10(total + distinct + 1), contexts_.astype(np.float32)
         s, number = splitter(), TaskContext.get().partitionId() << 40
         for batch in chunks(batches, "text"):
             split, n = s.split(batch.column("text")), batch.num_rows
@@ -360,8 +375,10 @@ def _scores(shared, keep: list[str]):
             by_ending = np.where(classes >= WORDS, 1, 0)
             ended = np.maximum(classes - WORDS, 0) % ENDINGS
             # a word's part of its class: count and fitted weights, over the sum of the class
-            own = np.einsum("nd,nd->n", lexicon.weights[at], contexts_[before]) if len(lexicon.counts) else 0.0
-            inside = np.where(by_ending > 0, seen + np.where(there, own / np.log(10), 0.0) - log_mass[ended] - log_sums[ended, before], 0.0)
+            own = np.zeros(len(classes))
+            fitted = np.flatnonzero(there & (by_ending > 0))
+            own[fitted] = np.einsum("nd,nd->n", lexicon.weights[at[fitted]], near[before[fitted]]) / np.log(10)
+            inside = np.where(by_ending > 0, seen + own - log_mass[ended] - log_sums[ended, before], 0.0)
             base = np.bincount(text, weights=seen, minlength=n) + np.log10(ends + 1) - (split.counts + 1) * scale
             score = chance + np.bincount(text, weights=inside, minlength=n)
             known = np.bincount(text, weights=there, minlength=n).astype(np.int64) + (ends > 0)

@@ -90,3 +90,38 @@ def test_words_of_one_ending_have_vectors_of_their_own(spark):
     assert got[1, "w1 coming"] > got[1, "w1 going"] + 0.3 and got[2, "w2 going"] > got[2, "w2 coming"] + 0.3
     learned = lm.fit_words(np.array([[3.0] + [0] * (lm.CLASSES - 1)]), np.array([3]), np.array([0]), np.array([0.5]), np.full((1, lm.CLASSES), 0.1), np.eye(lm.CLASSES))
     assert learned[0, 0] > 0 > learned[0, 1]
+
+
+def test_score_from_the_model_token_by_token(spark, sf_dir, monkeypatch):
+    """Scores recomputed from the trained parameters in plain Python; each word's chances sum to one."""
+    sent, learned = [], []
+    send, learn = lm.send, lm.learn_words
+    monkeypatch.setattr(lm, "HEAD", 300)  # so that most words come by the join
+    monkeypatch.setattr(lm, "send", lambda spark, value: (sent.append(value), send(spark, value))[1])
+    monkeypatch.setattr(lm, "learn_words", lambda *a: (learned.append(learn(*a)), learned[-1])[1])
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, "never seen words"), (-2, None)], "doc_id long, text string"))
+    training = lm.training_part(docs)
+    got = {r.doc_id: r.score for r in lm.score(docs, training).collect()}
+    lexicon, table, contexts, log_sums, mass, total, distinct, ends = next(x for x in sent if isinstance(x, tuple) and len(x) == 8)
+    weights = {r.hash: np.array(r.weights, dtype=float) for r in learned[0].select("hash", "weights").collect()}
+    counts = {r.hash: (r.n, r.ending) for r in lm.count_words(training).collect()}
+    heads = {h: c for h, c in zip(lexicon.hashes.view(np.int64).tolist(), lexicon.classes.tolist()) if c >= 0}
+    zero = np.zeros(contexts.shape[1])
+    for doc_id, text in [(r.doc_id, r.text) for r in docs.collect()]:
+        split = lm.splitter().split(lm.pa.array([text], lm.pa.string()))
+        two = one = lm.START
+        want = 0.0
+        for h, e in zip(split.hashes.view(np.int64).tolist(), lm.ending(split).tolist()):
+            c = heads.get(h, lm.WORDS + e)
+            want += float(table[two * lm.CLASSES + one, c])
+            if c >= lm.WORDS:
+                n = counts.get(h, (0, 0))[0]
+                want += math.log10((n + 1) / mass[e]) + float(weights.get(h, zero) @ contexts[one]) / math.log(10) - log_sums[e, one]
+            two, one = one, c
+        want += float(table[two * lm.CLASSES + one, lm.END])
+        assert abs(got[doc_id] - want) < 1e-3 + 1e-5 * abs(want), doc_id
+    for e in (0, 7):
+        own = [(n, weights[h]) for h, (n, x) in counts.items() if x == e and h not in heads]
+        for before in (0, 50, lm.START):
+            sums = 1 / mass[e] + sum((n + 1) / mass[e] * math.exp(w @ contexts[before]) for n, w in own)
+            assert abs(math.log10(sums) - log_sums[e, before]) < 1e-4
