@@ -3,17 +3,22 @@
 1. Anchors. Each window of 35 words picks the 12-word phrase in it that has the smallest hash, so equal
    windows pick equal phrases. About one phrase in twelve is picked; only these are shuffled and counted.
 2. Confirmation. In documents with a phrase that recurs, the windows that picked such a phrase are hashed
-   and counted over the whole corpus; those that start at two places or more are confirmed.
-3. Location. Each shard of documents gets the passages made of its confirmed windows, cut into window-sized
-   phrases; an Aho-Corasick automaton over word numbers (pyahocorasick) is compiled from them, and the
-   shard's documents are streamed through it, which marks every occurrence.
+   and counted over the whole corpus; those that start at two places or more are confirmed. Each gets one
+   representative document, which alone spells it out: runs of its windows become passages.
+3. Location. Passages are dealt to shards by representative. A shard compiles an Aho-Corasick automaton
+   (pyahocorasick) from phrases of its passages, so spaced that every window holds one, and the documents that have a
+   window of the shard are streamed through it. Nothing else tells where in a document something occurs: each match
+   is held against the passage word by word, and stretches of a window or more are spans.
 
 Counts are summed on the map side before each shuffle, and a phrase or window in many documents meets only
-joins that Spark can split. What is handed back to a document is in proportion to its own length.
+joins that Spark can split. A shard with many documents is held by several tasks, each of which gets its
+passages. A document goes to a shard once, however many windows they share.
 
 Defined cases: null texts have no words; texts shorter than a window lose nothing; repeated rows are
 occurrences of each other; rows are told apart by doc_id and text, so null or repeated ids do no harm;
-clashing extra columns are kept out of the way; an empty table gives an empty table.
+a text of any length is taken whole, as one chunk of its own; of equal windows in one document the first spells it
+out, of several documents that of the smallest row key, which changes no span; clashing extra columns are kept
+out of the way; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,11 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import carried, chunks, erase, release, row_key, prepare, store
+from .common import carried, chunks, erase, release, row_key, prepare, settle, store
 
 WINDOW, PHRASE = 35, 12
-#: Phrases of one automaton; a shard with more takes several, one after the other.
-PHRASES_AN_AUTOMATON = 25_000
+SPANS = "array<struct<start: int, end: int>>"
+#: Confirmed windows of a shard, about; phrases of one automaton, of which a shard may have several.
+WINDOWS_A_SHARD, PHRASES_AN_AUTOMATON = 1 << 19, 50_000
+DOCUMENTS_A_TASK = 4096
+#: Words that are compared at once; bytes of a batch on its way to a shard.
+COMPARED_AT_ONCE, BATCH = 1 << 21, 4 << 20
 
 
 def sliding(values: np.ndarray, width: int, best=np.minimum) -> np.ndarray:
@@ -113,12 +122,26 @@ def locate(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, keep: tu
     del candidates
     erase(spark, first)
     release(spark)
-    third = store(_recurring(spark, second))  # so that its shuffles are over before the texts move again
+    windows = spark.read.parquet(second)
+    confirmed = settle(windows.groupBy("hash").agg(F.sum("n").alias("total"), F.min("row_key").alias("owner")).where("total >= 2").select("hash", "owner"))
+    shards = max(1, -(-confirmed.count() // WINDOWS_A_SHARD))
+    shard = F.pmod(F.xxhash64("owner"), F.lit(shards)).cast("int").alias("shard")
+    routes = settle(windows.select("hash", "row_key").join(confirmed, "hash").select("row_key", shard).distinct())
     erase(spark, second)
     release(spark)
-    confirmed = spark.read.parquet(third)
-    found = keyed.join(confirmed, "row_key", "left").drop("row_key")
-    return found.mapInArrow(_mark(window, [*keep]), docs.select(*keep).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.from_json(F.lit("[]"), "array<struct<start: int, end: int>>")}).schema)
+    tasks = routes.groupBy("shard").agg(F.ceil(F.count("*") / DOCUMENTS_A_TASK).cast("int").alias("tasks"))  # one row a shard
+    own = confirmed.groupBy("owner").agg(F.collect_list("hash").alias("hashes")).select(F.col("owner").alias("row_key"), "hashes", shard).join(tasks, "shard")
+    to = routes.join(tasks, "shard").groupBy("row_key").agg(F.collect_list(F.struct("shard", "tasks")).alias("to"))
+    dealt = to.join(own, "row_key", "left").select("row_key", "to", "hashes", F.col("shard").alias("home"), F.col("tasks").alias("home_tasks"))
+    # equal rows have one key; the scan's partition tells them apart, so they don't all go to one task
+    texts = docs.select("text", row_key("doc_id", "text").alias("row_key"), F.spark_partition_id().alias("scan"))
+    sent = texts.join(dealt, "row_key").select("text", "row_key", "scan", "to", "hashes", "home", "home_tasks").mapInArrow(_deal(window), "shard int, task int, row_key long, text string")
+    hits = sent.repartition("shard", "task").sortWithinPartitions("shard", "task", F.col("row_key").isNotNull()).mapInArrow(_locate(window, phrase), f"row_key long, found {SPANS}")
+    third = store(hits.distinct())
+    release(spark)
+    of_row = spark.read.parquet(third).groupBy("row_key").agg(F.flatten(F.collect_list("found")).alias("found"))
+    located = keyed.join(of_row, "row_key", "left").drop("row_key")
+    return located.mapInArrow(_mark([*keep]), docs.select(*keep).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.from_json(F.lit("[]"), SPANS)}).schema)
 
 
 def member(lists: pa.Array, text: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -133,58 +156,199 @@ def member(lists: pa.Array, text: np.ndarray, value: np.ndarray) -> np.ndarray:
     return out
 
 
-def passages(starts: np.ndarray, window: int) -> np.ndarray:
-    """Starts of windows that cover the same words as all the given ones (ascending): tiles of each
-    run of consecutive starts, and the run's last."""
-    if not len(starts):
-        return starts
+def runs_of(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of each run of consecutive numbers (ascending)."""
     breaks = np.flatnonzero(np.diff(starts) != 1)
-    first, last = starts[np.append(0, breaks + 1)], starts[np.append(breaks, len(starts) - 1)]
-    return np.unique(np.concatenate([*(np.arange(a, b, window) for a, b in zip(first, last)), last]))
-
-
-def stream(split: words.Words, texts: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
-    """Which words of the given texts are covered by an occurrence of a phrase (given by places)."""
-    import ahocorasick
-
-    depth = np.zeros(len(split.hashes) + 1, dtype=np.int64)
-    for k in range(0, len(places), PHRASES_AN_AUTOMATON):
-        some = places[k : k + PHRASES_AN_AUTOMATON, None] + np.arange(window)
-        known, number = np.unique(split.hashes[some], return_inverse=True)
-        letters = np.append(0, np.arange(1, len(known) + 1) + 2048 * (np.arange(1, len(known) + 1) >= 0xD800)).astype("<u4")
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
-        for row in letters[number.reshape(some.shape) + 1]:
-            automaton.add_word(row.tobytes().decode("utf-32-le"), True)
-        automaton.make_automaton()
-        for t in texts.tolist():
-            a, b = split.bounds[t], split.bounds[t + 1]
-            at = np.minimum(np.searchsorted(known, split.hashes[a:b]), len(known) - 1)
-            line = letters[np.where(known[at] == split.hashes[a:b], at + 1, 0)].tobytes().decode("utf-32-le")
-            ends = np.fromiter((end for end, _ in automaton.iter(line)), dtype=np.int64)
-            np.add.at(depth, a + ends + 1 - window, 1)
-            np.add.at(depth, a + ends + 1, -1)
-    return np.cumsum(depth[:-1]) > 0
-
-
-def _mark(window: int, keep: list[str]):
+    return starts[np.append(0, breaks + 1)], starts[np.append(breaks, len(starts) - 1)]
+
+
+def _deal(window: int):
+    """For each document: its passages, to every task of their shard, and its text, to one task of each shard."""
+
     def run(batches):
         splitter = words.Splitter(words.WHITE, fold=False)
         for batch in chunks(batches, "text"):
             split = splitter.split(batch.column("text"))
-            starts = words.inside_runs(split.bounds, window)
-            spans: list[list] = [[] for _ in range(batch.num_rows)]
-            if len(starts):
-                text = np.searchsorted(split.bounds, starts, side="right") - 1
-                confirmed = starts[member(batch.column("hashes"), text, words.shingle_hashes(split.hashes, window)[starts])]
-                if len(confirmed):
-                    texts = np.unique(np.searchsorted(split.bounds, confirmed, side="right") - 1)
-                    places = passages(confirmed, window)
-                    _, one = np.unique(words.shingle_hashes(split.hashes, window)[places], return_index=True)
-                    covered = stream(split, texts, places[one], window)
-                    for t in texts.tolist():
-                        spans[t] = words.merged(covered[split.bounds[t] : split.bounds[t + 1]])
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(split.counts, pa.int64()), pa.array(spans, kind)], [*keep, "n_words", "spans"])
+            texts = batch.column("text")
+            shard, task, key, body = [], [], [], []
+            for i, (hashes, home, tasks) in enumerate(zip(*(batch.column(c) for c in ("hashes", "home", "home_tasks")))):
+                a, b = split.bounds[i], split.bounds[i + 1]
+                if not hashes.is_valid or b - a < window:
+                    continue
+                grams, first = np.unique(words.shingle_hashes(split.hashes[a:b], window), return_index=True)
+                starts = np.sort(first[np.isin(grams, hashes.values.to_numpy().view(words.U))])
+                for low, high in zip(*runs_of(starts)) if len(starts) else ():
+                    passage = split.data[split.starts[a + low] : split.ends[a + high + window - 1]].tobytes().decode()
+                    for t in range(tasks.as_py()):
+                        shard.append(home.as_py())
+                        task.append(t)
+                        body.append(passage)
+            for k in range(0, len(body), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(shard[k : k + 1000], pa.int32()), pa.array(task[k : k + 1000], pa.int32()), pa.nulls(len(body[k : k + 1000]), pa.int64()), pa.array(body[k : k + 1000], pa.string())], ["shard", "task", "row_key", "text"])
+            rows, shard, task, size = [], [], [], 0
+            for i, (to, row, scan) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("to", "row_key", "scan")))):
+                bytes_ = int(split.offsets[i + 1] - split.offsets[i])
+                for x in to:
+                    if rows and size + bytes_ > BATCH:
+                        yield _texts(batch, rows, shard, task)
+                        rows, shard, task, size = [], [], [], 0
+                    rows.append(i)
+                    shard.append(x["shard"])
+                    task.append(hash((row, scan)) % x["tasks"])
+                    size += bytes_
+            if rows:
+                yield _texts(batch, rows, shard, task)
+
+    return run
+
+
+def _texts(batch: pa.RecordBatch, rows: list[int], shard: list[int], task: list[int]) -> pa.RecordBatch:
+    at = pa.array(rows)
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(task, pa.int32()), batch.column("row_key").take(at), batch.column("text").take(at)], ["shard", "task", "row_key", "text"])
+
+
+def spelled(number: np.ndarray) -> np.ndarray:
+    """Each word's number as three letters, of which the last two have 128 forms each: an automaton looks through the
+    ways that leave a node one by one, so these have to be few. Row 0 is for any other word."""
+    out = np.zeros((len(number) + 1, 3), dtype="<u4")
+    out[1:] = np.stack((257 + (number >> 14), 129 + (number >> 7 & 127), 1 + (number & 127)), axis=1)
+    return out
+
+
+class Shard:
+    """Passages of one shard, and automata over phrases of them."""
+
+    def __init__(self, passages: list[str], window: int, phrase: int):
+        import ahocorasick
+
+        self.window, self.phrase = window, phrase
+        split = words.Splitter(words.WHITE, fold=False).split(pa.array(sorted(set(passages)), pa.string()))
+        self.words, self.bounds = split.hashes, split.bounds
+        self.known, number = np.unique(split.hashes, return_inverse=True)
+        self.letters = spelled(np.arange(len(self.known)))
+        line = self.letters[number + 1]
+        # a window that starts at s holds the phrase at the next multiple of the spacing
+        spacing, sizes = window - phrase + 1, split.counts
+        per = np.maximum((sizes - phrase) // spacing + 1, 0)
+        self.passage = np.repeat(np.arange(len(sizes)), per)
+        self.offset = (np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)) * spacing
+        rows = line[(self.bounds[self.passage] + self.offset)[:, None] + np.arange(phrase)] if len(self.passage) else np.zeros((0, phrase, 3), dtype="<u4")
+        held: dict[str, list[int]] = {}
+        for i, row in enumerate(rows):
+            held.setdefault(row.tobytes().decode("utf-32-le"), []).append(i)
+        self.places = list(held.values())
+        self.automata = []
+        names = list(held)
+        for k in range(0, len(names), PHRASES_AN_AUTOMATON):
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            for j, name in enumerate(names[k : k + PHRASES_AN_AUTOMATON], k):
+                automaton.add_word(name, j)
+            automaton.make_automaton()
+            self.automata.append(automaton)
+
+    def stream(self, split: words.Words) -> np.ndarray:
+        """Which words of the texts are covered by a stretch of some passage that is a window long or longer."""
+        n = len(split.hashes)
+        depth = np.zeros(n + 1, dtype=np.int64)
+        if not n or not len(self.known):
+            return depth[:-1] > 0
+        at = np.minimum(np.searchsorted(self.known, split.hashes), len(self.known) - 1)
+        letter = self.letters[np.where(self.known[at] == split.hashes, at + 1, 0)]
+        row = split.rows()
+        line = np.zeros((n + len(split.bounds), 3), dtype="<u4")  # what no phrase has stands between texts
+        line[np.arange(n) + row] = letter
+        text = line.tobytes().decode("utf-32-le")
+        ends, found = [], []
+        for automaton in self.automata:
+            for end, j in automaton.iter(text):
+                for place in self.places[j]:
+                    ends.append(end // 3)
+                    found.append(place)
+        if not ends:
+            return depth[:-1] > 0
+        ends, found = np.array(ends), np.array(found)
+        doc = np.searchsorted(split.bounds[:-1] + np.arange(len(split.bounds) - 1), ends, side="right") - 1
+        start = ends - doc - self.phrase + 1 - self.offset[found]  # where the passage would begin
+        passage = self.passage[found]
+        doc, passage, start = _distinct(doc, passage, start)
+        low = np.maximum(split.bounds[doc], start)
+        high = np.minimum(split.bounds[doc + 1], start + np.diff(self.bounds)[passage])
+        source = self.bounds[passage] - start
+        sizes = high - low
+        upto = np.cumsum(sizes)
+        first = 0
+        while first < len(sizes):
+            before = upto[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(upto, before + COMPARED_AT_ONCE, side="right")))
+            some = slice(first, last)
+            size = sizes[some]
+            stops = np.cumsum(size + 1)
+            where = np.arange(int(stops[-1])) + np.repeat(low[some] - (stops - size - 1), size + 1)
+            inside = np.ones(len(where), dtype=bool)
+            inside[stops - 1] = False
+            same = np.zeros(len(where), dtype=bool)
+            same[inside] = split.hashes[where[inside]] == self.words[(where + np.repeat(source[some], size + 1))[inside]]
+            edges = np.diff(np.concatenate(([0], same.view(np.int8), [0])))
+            a, b = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+            long = b - a >= self.window
+            np.add.at(depth, where[a[long]], 1)
+            np.add.at(depth, where[b[long] - 1] + 1, -1)
+            first = last
+        return np.cumsum(depth[:-1]) > 0
+
+
+def _distinct(*columns: np.ndarray) -> list[np.ndarray]:
+    """Distinct rows of parallel arrays."""
+    order = np.lexsort(columns)
+    columns = [c[order] for c in columns]
+    new = np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0)))
+    return [c[new] for c in columns]
+
+
+def _locate(window: int, phrase: int):
+    """Passages of a task come first, then the texts that are streamed through their automata."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches):
+        splitter = words.Splitter(words.WHITE, fold=False)
+        at, passages, shard = None, [], None
+        for batch in chunks(batches, "text"):
+            places = list(zip(batch.column("shard").to_pylist(), batch.column("task").to_pylist()))
+            keys = batch.column("row_key").is_valid().to_pylist()
+            cuts = [i for i in range(1, batch.num_rows) if (places[i], keys[i]) != (places[i - 1], keys[i - 1])]
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if places[a] != at:
+                    at, passages, shard = places[a], [], None
+                part = batch.slice(a, b - a)
+                if not keys[a]:
+                    passages += part.column("text").to_pylist()
+                    continue
+                if shard is None:
+                    shard = Shard(passages, window, phrase)
+                split = splitter.split(part.column("text"))
+                covered = shard.stream(split)
+                spans = [words.merged(covered[x:y]) for x, y in zip(split.bounds, split.bounds[1:])]
+                some = pa.array([bool(x) for x in spans])
+                yield pa.RecordBatch.from_arrays([part.column("row_key"), pa.array(spans, kind)], ["row_key", "found"]).filter(some)
+
+    return run
+
+
+def _mark(keep: list[str]):
+    """n_words, and the union of what all shards have found in a document."""
+
+    def run(batches):
+        splitter = words.Splitter(words.WHITE, fold=False)
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        for batch in chunks(batches, "text"):
+            counts = splitter.split(batch.column("text")).counts
+            spans: list[list] = []
+            for n, found in zip(counts.tolist(), batch.column("found").to_pylist()):
+                covered = np.zeros(n if found else 0, dtype=bool)
+                for x in found or ():
+                    covered[x["start"] : x["end"]] = True
+                spans.append(words.merged(covered) if found else [])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(counts, pa.int64()), pa.array(spans, kind)], [*keep, "n_words", "spans"])
 
     return run
 

@@ -40,13 +40,37 @@ def test_sliding():
         assert substring.sliding(x, width).tolist() == [x[i : i + width].min() for i in range(61 - width)]
 
 
-def test_passages_cover_the_same_words():
+def test_automata_find_every_window_of_the_passages():
+    """Passages are all that a shard knows; what it finds in texts equals a search for each of their windows."""
     r = random.Random(1)
-    for _ in range(100):
-        starts = np.array(sorted(r.sample(range(200), r.randint(1, 120))))
-        cover = lambda s: {x for a in s for x in range(a, a + 7)}
-        tiles = substring.passages(starts, 7)
-        assert set(tiles) <= set(starts) and cover(tiles) == cover(starts)
+    for window, phrase, v in ((7, 3, 4), (5, 2, 2), (6, 6, 3), (35, 12, 2)):
+        say = lambda n: [f"w{r.randrange(v)}" for _ in range(n)]
+        for _ in range(20):
+            passages = [say(r.randint(window, 3 * window)) for _ in range(3)] + [["w0"] * window]
+            texts = [say(r.randint(0, 60)) for _ in range(6)] + [say(9) + p[r.randrange(len(p)) :] + ["new"] + p[: r.randrange(len(p))] for p in passages] + [["w0"] * 90]
+            shard = substring.Shard([" ".join(p) for p in passages], window, phrase)
+            split = substring.words.Splitter(substring.words.WHITE, fold=False).split(substring.pa.array([" ".join(t) for t in texts]))
+            got = shard.stream(split)
+            known = {tuple(p[i : i + window]) for p in passages for i in range(len(p) - window + 1)}
+            for k, t in enumerate(texts):
+                want = {x for i in range(len(t) - window + 1) if tuple(t[i : i + window]) in known for x in range(i, i + window)}
+                assert set(np.flatnonzero(got[split.bounds[k] : split.bounds[k + 1]]).tolist()) == want
+
+
+def test_without_automata_nothing_is_found(spark, monkeypatch):
+    p = " ".join(f"p{i}" for i in range(50))
+    docs = [(1, f"a {p}"), (2, f"{p} b")]
+    assert [x[2] for x in run(spark, docs)] == [50, 50]
+    monkeypatch.setattr(substring.Shard, "stream", lambda self, split: np.zeros(len(split.hashes), dtype=bool))
+    assert [x[2] for x in run(spark, docs)] == [0, 0]
+
+
+def test_very_long_and_monotonous_texts(spark):
+    r = random.Random(7)
+    long = " ".join(f"v{r.randrange(10**6)}" for _ in range(400_000))
+    assert len(long) > 2 << 20
+    docs = [(1, long), (2, "x " + long[: len(long) // 2]), (3, "same " * 200_000), (4, "is onhe " * 50_000), (5, long[-3000:])]
+    assert run(spark, docs) == brute(docs)
 
 
 def test_against_brute_force(spark):
@@ -63,6 +87,8 @@ def test_against_brute_force(spark):
 
 def test_several_automata(spark, monkeypatch):
     monkeypatch.setattr(substring, "PHRASES_AN_AUTOMATON", 2)
+    monkeypatch.setattr(substring, "WINDOWS_A_SHARD", 20)
+    monkeypatch.setattr(substring, "DOCUMENTS_A_TASK", 3)
     r = random.Random(2)
     docs = [(i, " ".join(f"w{r.randrange(9)}" for _ in range(60))) for i in range(12)]
     assert run(spark, docs, window=4, phrase=2) == brute(docs, 4)
