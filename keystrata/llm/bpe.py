@@ -3,11 +3,13 @@
 The pieces of many texts stand in one flat array of symbols. A round looks up every pair of
 neighbours by binary search among the sorted pair keys, takes the lowest rank of each piece and
 merges all its occurrences, left before right; pieces without a known pair leave. Pieces over
-``LONG_PIECE`` symbols, where one rank a round would mean too many rounds, are merged with a heap.
+``LONG_PIECE`` symbols would keep the array busy for many rounds; their rounds are apart and touch only the pairs
+of the round's rank. Both need merges to be ranked after those that make their parts, which is checked of
+a vocabulary when it is read: then no merge brings up a pair of a lower rank.
 
 Defined cases: a null text encodes like the empty text (no ids, empty decoded text); special tokens
 written out in a text become their ids; any other columns of the input are ignored; equal rows
-give equal results; an empty table gives an empty table.
+give equal results; texts and pieces of any length are encoded whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -90,6 +92,10 @@ class Codec:
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank = keys[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
+        made = np.full(max(i for i, _ in words) + 1, -1)
+        np.maximum.at(made, self.merged, np.arange(len(pairs)))
+        if (np.maximum(made[left], made[right]) >= np.arange(len(pairs))).any():
+            raise ValueError("a merge is ranked before one that makes its parts")
         self.pieces, self.ascii_pieces = regex.compile(PIECES).findall, re.compile(ASCII_PIECES, re.ASCII).findall
         self._forget()
 
@@ -118,10 +124,11 @@ class Codec:
         done_at, done_ids = [], []
         long = sizes > LONG_PIECE
         if long.any():
-            for p in np.flatnonzero(long):
-                done_ids.append(self._merge_long(symbols[piece == p].tolist()))
-                done_at.append(np.full(len(done_ids[-1]), p))
             keep = ~long[piece]
+            some, at = symbols[~keep], piece[~keep]
+            stay = self._merge_long(some, at)
+            done_ids.append(some[stay])
+            done_at.append(at[stay])
             symbols, piece = symbols[keep], piece[keep]
         while len(symbols):
             ranks = np.full(len(symbols), none)
@@ -150,30 +157,53 @@ class Codec:
         order = np.argsort(at, kind="stable")
         return ids[order].astype(np.int32), np.bincount(at, minlength=len(pieces)).astype(np.int64)
 
-    def _merge_long(self, symbols: list[int]) -> np.ndarray:
-        """One long piece: a heap of ranked pairs over a linked list."""
+    def _merge_long(self, symbols: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Long pieces, as many as there are: a round takes the lowest rank that any of them has and merges all its
+        occurrences, left before right. Pairs are kept by rank, so a round touches only its own pairs and their
+        neighbours. symbols is merged in place; returns which of them stay."""
         n, none = len(symbols), len(self.keys)
-        after, before = [*range(1, n), -1], list(range(-1, n - 1))
-
-        def rank(i: int, j: int) -> int:
-            return int(self._ranks(np.array([symbols[i]]), np.array([symbols[j]]))[0])
-
-        first = self._ranks(np.array(symbols[:-1]), np.array(symbols[1:])).tolist()
-        heap = [(r, i, symbols[i], symbols[i + 1]) for i, r in enumerate(first) if r < none]
-        heapq.heapify(heap)
+        after, before = np.arange(1, n + 1), np.arange(-1, n)
+        edges = np.flatnonzero(piece[1:] != piece[:-1]) + 1
+        after[edges - 1], before[edges] = n, -1
+        rank = np.full(n, none)
+        held: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def look_up(at: np.ndarray) -> None:
+            at = at[after[at] < n]
+            found = self._ranks(symbols[at], symbols[after[at]])
+            rank[at] = found
+            at, found = at[found < none], found[found < none]
+            order = np.argsort(found, kind="stable")
+            at, found = at[order], found[order]
+            cuts = np.flatnonzero(np.diff(found)) + 1
+            for r, some in zip(found[np.append(0, cuts)].tolist() if len(found) else (), np.split(at, cuts)):
+                if r not in held:
+                    held[r] = []
+                    heapq.heappush(heap, r)
+                held[r].append(some)
+
+        look_up(np.arange(n))
         while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i] if symbols[i] == a else -1
-            if j < 0 or symbols[j] != b:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(held.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
                 continue
-            symbols[i], symbols[j] = int(self.merged[r]), -1
-            after[i] = k = after[j]
-            if k >= 0:
-                before[k] = i
-            for x, y in ((before[i], i), (i, k)):
-                if x >= 0 and y >= 0 and (s := rank(x, y)) < none:
-                    heapq.heappush(heap, (s, x, symbols[x], symbols[y]))
-        return np.array([s for s in symbols if s >= 0], dtype=np.int64)
+            fresh = np.concatenate(([True], after[at[:-1]] != at[1:]))  # of overlapping pairs, every second one
+            lead = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - lead) % 2 == 0]
+            gone = after[at]
+            symbols[at], symbols[gone] = self.merged[r], -1
+            rank[at] = rank[gone] = none
+            after[at] = after[gone]
+            inside = after[at] < n
+            before[after[at][inside]] = at[inside]
+            left = before[at]
+            left = left[left >= 0]
+            rank[left] = none
+            look_up(np.unique(np.concatenate((left, at))))
+        return symbols >= 0
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts, and where each text ends."""

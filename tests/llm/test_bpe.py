@@ -68,3 +68,22 @@ def test_frames(spark, library):
     back = bpe.decode(bpe.encode(docs, spec), spec)
     assert sorted((r.doc_id or 0, r.text) for r in back.collect()) == sorted((a or 0, b or "") for a, b, _ in rows)
     assert bpe.round_trip(docs.limit(0), spec).count() == 0
+
+
+def test_long_pieces(codec, library):
+    """Runs of letters, marks and blanks without a break, from the border of the two schedules to a megabyte."""
+    r = random.Random(9)
+    given = ["".join(r.choice(a) for _ in range(n)) for n in (399, 400, 401, 402, 5_000) for a in ("ab", "etaoinshrdlu", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "日本語한국中文字", "!?$=-_", "é")]
+    given += [" " * 3000 + "x", "\n" * 2000, "a" * 1_000_001, "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000)), ("the" * 50_000) + " end"]
+    ids, ends = codec.encode(given)
+    want = [e.ids for e in library.encode_batch(given, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)] == want
+
+
+def test_vocabularies_out_of_order_are_refused():
+    import json
+
+    letters = {c: i for i, c in enumerate(bpe.visible_bytes())}
+    spec = {"model": {"type": "BPE", "vocab": letters | {"ab": 256, "abc": 257}, "merges": ["ab c", "a b"]}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}}
+    with pytest.raises(ValueError, match="ranked before"):
+        bpe.Codec(json.dumps(spec))
