@@ -1,22 +1,26 @@
 """Nearest neighbours by a block matrix join of int8 tiles.
 
-Queries travel in blocks of bounded size; each is multiplied with tiles of the candidates where these
-lie, so no pair is ever shuffled. Vectors are quantised to int8 with one scale each; the product of two
+Queries are dealt to blocks and candidates to tiles, and each cell of the grid (block, tile) becomes one group of a
+shuffle: a task holds the block's queries and streams the tile's candidates past them. Nothing passes through the
+driver, and no pair is ever shuffled. Vectors are quantised to int8 with one scale each; the product of two
 quantised vectors is off from the true inner product by at most ``|q| |e_x| + |e_q| |x^|`` (e: the
 quantisation error, x^: the quantised vector), which is known for every pair. A query keeps the pairs
 whose upper bound reaches its k-th best lower bound so far; these alone are recomputed in double
-precision. Heaps of k per query and task are merged by a last aggregation.
+precision and go into the query's heap of k. The heaps of a query's cells are merged by a last aggregation.
 
 The search is exact: the bounds are proven, so recall is 1.
 
-Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite
-components take no part; null ids take no part; repeated ids are separate candidates, but for the
-query's own id; ties go to the smaller id; fewer candidates than k are all returned; clashing extra
+Defined cases: vectors that are null, zero, or hold null or non-finite components take no part; null ids take
+no part; vectors meet those of their own length only; repeated ids are separate candidates, but for the
+query's own id; equal query rows (id and vector) are one query, different vectors under one id are queries of their
+own, each with its own list; ties go to the smaller id; fewer candidates than k are all returned; clashing extra
 columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import ship_by_value
 
-QUERY_BLOCK, TILE = 4096, 2048
+#: Queries of a block; candidates of a tile at least and at most; candidates multiplied at once.
+QUERY_BLOCK, LEAST_TILE, MOST_TILE, STEP = 8192, 8192, 1 << 18, 2048
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -54,84 +59,104 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Searcher:
-    """The best k of the candidates seen so far for each query of a block."""
+    """The best k of the candidates seen so far for each query of a block, in a heap for each: the worst on top."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         self.ids, self.vectors, self.k = ids, vectors, k
         self.q, self.scale, self.norm, self.error = quantise(vectors)
         self.wide = self.q.astype(np.float32)  # products of int8 are exact in float32 up to 1040 dimensions
-        self.found_id = np.zeros((len(ids), 0), dtype=np.int64)
-        self.found = np.zeros((len(ids), 0))
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in ids]  # (score, -id)
+        self.floor = np.full(len(ids), -np.inf)
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
         q, scale, norm, error = quantise(x)
         kind = np.float32 if x.shape[1] <= 1040 else np.float64
-        near = (self.wide.astype(kind) @ q.T.astype(kind)).astype(np.float64) * self.scale[:, None] * scale
+        near = (self.wide.astype(kind, copy=False) @ q.T.astype(kind)).astype(np.float64) * self.scale[:, None] * scale
         off = (self.norm[:, None] + self.error[:, None]) * error + self.error[:, None] * norm + 1e-12 * (1 + np.abs(near))
         own = self.ids[:, None] == ids
-        low = np.where(own, -np.inf, near - off)
-        floor = np.full(len(self.ids), -np.inf)
+        floor = self.floor
         if len(ids) >= self.k:
-            floor = np.partition(low, len(ids) - self.k, axis=1)[:, len(ids) - self.k]
-        if self.found.shape[1] >= self.k:
-            floor = np.maximum(floor, self.found[:, self.k - 1])
+            low = np.where(own, -np.inf, near - off)
+            floor = np.maximum(floor, np.partition(low, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
         row, column = np.nonzero((near + off >= floor[:, None]) & ~own)
+        if not len(row):
+            return
         score = exact(self.vectors[row], x[column])
-        kept = (np.repeat(np.arange(len(self.ids)), self.found.shape[1]), self.found_id.reshape(-1), self.found.reshape(-1))
-        row, name, score = (np.concatenate((a, b)) for a, b in zip(kept, (row, ids[column], score)))
-        order = np.lexsort((name, -score, row))
-        row, name, score = row[order], name[order], score[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row)
-        best = rank < self.k
-        width = int(rank[best].max()) + 1 if best.any() else 0
-        self.found = np.full((len(self.ids), width), -np.inf)
-        self.found_id = np.full((len(self.ids), width), np.iinfo(np.int64).max)
-        self.found[row[best], rank[best]], self.found_id[row[best], rank[best]] = score[best], name[best]
+        for r, entry in zip(row.tolist(), zip(score.tolist(), (-ids[column]).tolist())):
+            heap = self.heaps[r]
+            if len(heap) < self.k:
+                heapq.heappush(heap, entry)
+            elif entry > heap[0]:
+                heapq.heapreplace(heap, entry)
+        for r in np.unique(row).tolist():
+            if len(self.heaps[r]) == self.k:
+                self.floor[r] = self.heaps[r][0][0]
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        row, column = np.nonzero(self.found > -np.inf)
-        return self.ids[row], self.found_id[row, column], self.found[row, column]
+        """(query's place, id, score) of all heaps."""
+        place = np.repeat(np.arange(len(self.heaps)), [len(h) for h in self.heaps])
+        entries = [e for h in self.heaps for e in h]
+        return place, -np.array([i for _, i in entries], dtype=np.int64), np.array([s for s, _ in entries], dtype=np.float64)
 
 
-def _matrix(batch: pa.RecordBatch, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
-    lists = batch.column("v")
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
-    return batch.column("id").to_numpy(), flat.reshape(-1, dimensions)
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", block: int = QUERY_BLOCK, tile: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): of every query, its k nearest by inner product but itself."""
     ship_by_value()
     spark = vectors.sparkSession
-    schema = "query_id long, vec_id long, score double"
-    rows, asked = usable(vectors, key, vector), usable(queries, key, vector)
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    out = spark.createDataFrame([], schema)
-    if sizes is not None:
-        d = sizes["n"]
-        rows, asked = rows.where(F.size("v") == d), asked.where(F.size("v") == d)
-        blocks = max(1, -(-asked.count() // block))
-        for b in range(blocks):
-            some = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-            held = some.orderBy("id").collect()  # about QUERY_BLOCK rows
-            if held:
-                shared = spark.sparkContext.broadcast((np.array([r.id for r in held]), np.array([r.v for r in held])))
-                found = rows.mapInArrow(_search(shared, d, k), schema)
-                out = found if b == 0 else out.union(found)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = out.withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}")
+    rows = usable(vectors, key, vector).withColumn("d", F.size("v"))
+    asked = usable(queries, key, vector).withColumn("d", F.size("v")).distinct()
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    size = F.lit(tile) if tile else F.least(F.greatest(F.ceil(F.col("n") / tasks), F.lit(LEAST_TILE)), F.lit(MOST_TILE))
+    # one row for each length of vectors
+    grid = rows.groupBy("d").agg(F.count("*").alias("n")).join(asked.groupBy("d").agg(F.count("*").alias("m")), "d")
+    grid = F.broadcast(grid.select("d", F.ceil(F.col("n") / size).cast("int").alias("tiles"), F.ceil(F.col("m") / block).cast("int").alias("blocks")))
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    held = asked.join(grid, "d").select("d", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int").alias("block"), each(F.col("tiles")).alias("tile"), F.lit(0).alias("side"), "id", "v")
+    passed = rows.join(grid, "d").select("d", each(F.col("blocks")).alias("block"), F.pmod(F.monotonically_increasing_id(), F.col("tiles")).cast("int").alias("tile"), F.lit(1).alias("side"), "id", "v")
+    cells = held.union(passed).repartition("d", "block", "tile").sortWithinPartitions("d", "block", "tile", "side")
+    found = cells.mapInArrow(_search(k), "query_id long, query long, vec_id long, score double")
+    best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}")
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _search(shared, dimensions: int, k: int):
+def _search(k: int):
+    """Cell by cell: the queries come first. query tells different vectors of one id apart."""
+
+    def done(searcher: Searcher, number: np.ndarray) -> Iterator[pa.RecordBatch]:
+        place, found, score = searcher.rows()
+        for a in range(0, len(place), 1 << 16):
+            b = a + (1 << 16)
+            yield pa.RecordBatch.from_arrays([pa.array(searcher.ids[place[a:b]]), pa.array(number[place[a:b]]), pa.array(found[a:b]), pa.array(score[a:b])], ["query_id", "query", "vec_id", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]):
-        ids, vectors = shared.value
-        searcher = None
+        at, ids, vectors, searcher, number = None, [], [], None, None
         for batch in batches:
-            for start in range(0, batch.num_rows, TILE):
-                searcher = searcher or Searcher(ids, vectors, k)
-                searcher.add(*_matrix(batch.slice(start, TILE), dimensions))
+            cell = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("d", "block", "tile", "side")])
+            cuts = np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1
+            for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if start == stop:
+                    continue
+                d, *place, side = cell[:, start].tolist()
+                part = batch.slice(start, stop - start)
+                x = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+                names = part.column("id").to_numpy()
+                if (d, *place) != at:
+                    if searcher is not None:
+                        yield from done(searcher, number)
+                    at, ids, vectors, searcher = (d, *place), [], [], None
+                if not side:
+                    ids.append(names)
+                    vectors.append(x)
+                    continue
+                if not ids:
+                    continue
+                if searcher is None:
+                    searcher = Searcher(np.concatenate(ids), np.concatenate(vectors), k)
+                    number = np.array([int.from_bytes(hashlib.blake2b(v.tobytes(), digest_size=8).digest(), "little", signed=True) for v in searcher.vectors], dtype=np.int64)
+                for first in range(0, len(names), STEP):
+                    searcher.add(names[first : first + STEP], x[first : first + STEP])
         if searcher is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in searcher.rows()], ["query_id", "vec_id", "score"])
+            yield from done(searcher, number)
 
     return run

@@ -29,6 +29,21 @@ def test_against_brute_force(spark, block):
     assert run(spark, rows, block=block) == brute(rows)
 
 
+def test_grid_lengths_and_repeated_queries(spark):
+    r = np.random.default_rng(4)
+    say = lambda n: [float(np.float32(x)) for x in r.normal(size=n)]
+    rows = [(i, say(8)) for i in range(130)] + [(200 + i, say(5)) for i in range(50)] + [(900, say(3))]
+    short, long = ([x for x in rows if len(x[1]) == n] for n in (5, 8))
+    want = sorted(brute(short, 7) + brute(long, 7))
+    for block, tile in ((3, 10), (1000, 1000), (1, 40)):
+        assert run(spark, rows, 7, block=block, tile=tile) == want
+    again = long + [rows[0], rows[0]]  # one query, three candidates; its own id is left out, however often it is there
+    assert run(spark, short + again, 200, block=3, tile=10) == sorted({*brute(again, 200), *brute(short, 200)})
+    other = (0, say(8))
+    found = run(spark, rows + [other], 7, tile=10)
+    assert sorted(x for x in found if x[0] == 0) == sorted(x for q in (rows[0], other) for x in brute([q] + [y for y in long if y[0] != 0], 7) if x[0] == 0)
+
+
 def test_few_candidates_and_empty(spark):
     rows = [(0, [1.0, 2.0]), (1, [3.0, 1.0]), (20, [1.0, 0.0])]
     assert run(spark, rows) == brute(rows)
