@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import carried, chunks, received, remainder, send, prepare
+from .common import carried, chunks, received, remainder, send, settle, prepare
 
 TRAIN_ROWS = 20_000
 #: Weight of the prior as a share of all counts; least z-score and toxic documents of a significant part.
@@ -122,8 +122,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, divisor: int,
     the one of the smallest hash."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (remainder("doc_id", divisor) != held))
     chosen = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most TRAIN_ROWS small rows
-    found = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"), F.max("label").alias("label"))
+    rows_ = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    one = rows_.select("doc_id", "text_hash").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"), F.max("label").alias("label"))
+    found = rows_.join(F.broadcast(one), ["doc_id", "text_hash"])  # at most TRAIN_ROWS small rows
     return found.groupBy("text").agg(F.max("label").alias("label"))  # copies teach once
 
 
@@ -189,7 +190,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int =
 
 def fit(docs: DataFrame, labels: DataFrame, divisor: int = 4, held: int = 2, rows: int = TRAIN_ROWS) -> Model:
     prepare(docs)
-    train = training_rows(docs, labels, "toxic", divisor, held, rows)
+    train = settle(training_rows(docs, labels, "toxic", divisor, held, rows))
     counts = _counts(train)
     model = Model()
     totals = counts.agg(F.sum("toxic"), F.sum("other")).first()
