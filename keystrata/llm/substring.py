@@ -36,10 +36,12 @@ from .common import carried, chunks, erase, release, row_key, prepare, settle, s
 WINDOW, PHRASE = 35, 12
 SPANS = "array<struct<start: int, end: int>>"
 #: Confirmed windows of a shard, about; phrases of one automaton, of which a shard may have several.
-WINDOWS_A_SHARD, PHRASES_AN_AUTOMATON = 1 << 19, 50_000
+WINDOWS_A_SHARD, PHRASES_AN_AUTOMATON = 1 << 18, 50_000
 DOCUMENTS_A_TASK = 4096
+#: Bytes of text that are streamed through an automaton at once.
+STREAMED = 1 << 19
 #: Words that are compared at once; bytes of a batch on its way to a shard.
-COMPARED_AT_ONCE, BATCH = 1 << 21, 4 << 20
+COMPARED_AT_ONCE, BATCH = 1 << 19, 1 << 20
 
 
 def sliding(values: np.ndarray, width: int, best=np.minimum) -> np.ndarray:
@@ -258,15 +260,12 @@ class Shard:
         line = np.zeros((n + len(split.bounds), 3), dtype="<u4")  # what no phrase has stands between texts
         line[np.arange(n) + row] = letter
         text = line.tobytes().decode("utf-32-le")
-        ends, found = [], []
-        for automaton in self.automata:
-            for end, j in automaton.iter(text):
-                for place in self.places[j]:
-                    ends.append(end // 3)
-                    found.append(place)
-        if not ends:
+        # (end, place) as one number, so that no hit is held as an object
+        hits = [np.fromiter(((end // 3) * len(self.passage) + place for end, j in automaton.iter(text) for place in self.places[j]), dtype=np.int64) for automaton in self.automata]
+        del text
+        ends, found = np.divmod(np.concatenate(hits) if hits else np.zeros(0, dtype=np.int64), max(1, len(self.passage)))
+        if not len(ends):
             return depth[:-1] > 0
-        ends, found = np.array(ends), np.array(found)
         doc = np.searchsorted(split.bounds[:-1] + np.arange(len(split.bounds) - 1), ends, side="right") - 1
         start = ends - doc - self.phrase + 1 - self.offset[found]  # where the passage would begin
         passage = self.passage[found]
@@ -312,7 +311,7 @@ def _locate(window: int, phrase: int):
     def run(batches):
         splitter = words.Splitter(words.WHITE, fold=False)
         at, passages, shard = None, [], None
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", STREAMED):
             places = list(zip(batch.column("shard").to_pylist(), batch.column("task").to_pylist()))
             keys = batch.column("row_key").is_valid().to_pylist()
             cuts = [i for i in range(1, batch.num_rows) if (places[i], keys[i]) != (places[i - 1], keys[i - 1])]
