@@ -6,8 +6,10 @@ lost. A turn is written ``<turn:ROLE>\nTEXT</turn>\n``; in roles and texts ``\``
 ``<`` as ``\l`` and ``>`` as ``\g``, so markers never occur in them and reading back is exact.
 
 Defined cases: null texts and roles count as empty; null turns come first, equal turns in the order
-of role and text; rows of a null conv_id form one conversation; other columns are ignored. Output
-grows with turns squared in one conversation, as prefixes are spelled out.
+of role and text; repeated rows are turns of their own; rows of a null conv_id form one conversation; a text of
+any length is one turn; other columns are ignored; an empty table gives an empty table. A conversation is one
+row by design (each example holds all of its prefix), so it must fit into a task, as must all rows of null
+conv_id; output grows with turns squared in one conversation, as prefixes are spelled out.
 """
 
 from __future__ import annotations

@@ -86,6 +86,62 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_ngram_jaccard_join": r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), tokens AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS token
+  FROM split, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS t(i) WHERE len(ws) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM tokens GROUP BY doc_id
+), shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM tokens x JOIN tokens y ON x.token = y.token AND x.doc_id <> y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * k >= 75 * (p.n + q.n - k)
+), reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT reached.a, links.b FROM reached JOIN links ON links.a = reached.b
+)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r.b) AS component_id
+FROM documents d JOIN reached r ON r.a = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "op9_substring_dedup": r"""
+WITH split AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), places AS (
+  SELECT row, i, ws[i] AS word, CASE WHEN i + 34 <= len(ws) THEN array_to_string(ws[i : i + 34], ' ') END AS win
+  FROM split, unnest(range(1, len(ws) + 1)) AS t(i)
+), repeated AS (
+  SELECT win FROM places WHERE win IS NOT NULL GROUP BY win HAVING count(*) > 1
+), marked AS (
+  SELECT p.row, p.i, p.word, max(CASE WHEN r.win IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY p.row ORDER BY p.i ROWS 34 PRECEDING) AS gone
+  FROM places p LEFT JOIN repeated r ON r.win = p.win
+), found AS (
+  SELECT row, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM marked GROUP BY row
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM split LEFT JOIN found USING (row)""",
+    "op10_decontamination": r"""
+WITH items AS (
+  SELECT coalesce(item_id, -1) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), wins AS (
+  SELECT DISTINCT item_id, least(len(ws), 13) AS n, array_to_string(ws[i : i + 12], ' ') AS win
+  FROM items, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS t(i) WHERE len(ws) > 0
+), split AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), places AS (
+  SELECT row, i, n, array_to_string(ws[i : i + n - 1], ' ') AS win
+  FROM split, (SELECT DISTINCT n FROM wins), unnest(range(1, len(ws) - n + 2)) AS t(i)
+), hits AS (
+  SELECT row, i, n, item_id FROM places JOIN wins USING (n, win)
+), words AS (
+  SELECT row, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT row, i, n FROM hits), unnest(range(i, i + n)) AS t(j) GROUP BY row
+), named AS (
+  SELECT row, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS name FROM hits) GROUP BY row
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(ws), false) AS contaminated
+FROM split LEFT JOIN words USING (row) LEFT JOIN named USING (row)""",
     "op8_nearest_neighbours": """
 WITH rows AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings

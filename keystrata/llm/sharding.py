@@ -8,7 +8,11 @@ could fall into, again and again, until these are single groups and the answer i
 functions do all work on rows.
 
 Defined cases: null and empty texts are one group and take one byte a row; repeated rows each get
-their own slot; fewer groups than shards leave shards empty; an empty table gives an empty table.
+their own slot, and rows of one repeated or null id are numbered in parallel like any others; a group is
+never cut, so a very long text or a frequent one may make its shard larger than a fair share; of several
+ways to cut under the smallest capacity the one nearest to fair shares is taken, and equal sizes are told
+apart by hash; fewer groups than shards leave shards empty; other columns are ignored, whatever they are
+called; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from .common import settle
 #: Cells that a hash range is split into: on the first pass and on each later one, in bits.
 FIRST_BITS, NEXT_BITS = 12, 8
 HASH_BITS = 62
-#: Ranges of ids by which the rows of a shard are numbered in parallel.
+#: Ranges of hashes of ids, texts and row numbers by which the rows of a shard are numbered in parallel.
 SLOT_RANGES = 512
 
 
@@ -127,17 +131,16 @@ def plan_cuts(rows: DataFrame, shards: int) -> tuple[list[int], int]:
 def shard(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, size, text_crc32, law, shard, slot, grown_shard); law is always ``bytes``."""
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.select(F.col(key), (F.length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.shiftrightunsigned(F.xxhash64(body), 64 - HASH_BITS).alias("h"))
+    rows = docs.select(F.col(key), (F.length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.shiftrightunsigned(F.xxhash64(body), 64 - HASH_BITS).alias("h"), F.monotonically_increasing_id().alias("own"))
     rows = settle(rows)  # a few bytes a row; the texts are read once
     cuts, _ = plan_cuts(rows.select("h", "size"), shards)
     number = F.lit(0)
     for c in cuts:
         number = number + (F.col("h") >= F.lit(c)).cast("int")
     rows = rows.withColumn("shard", number)
-    part = F.pmod(F.xxhash64(F.col(key)), F.lit(SLOT_RANGES)).cast("int")
-    rows = rows.withColumn("part", part)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(F.col(key), "h", "own"), F.lit(SLOT_RANGES)).cast("int"))
     counts = rows.groupBy("shard", "part").count()  # shards * SLOT_RANGES rows at most
     before = counts.select("shard", "part", (F.sum("count").over(Window.partitionBy("shard").orderBy("part")) - F.col("count")).alias("before"))
-    within = F.row_number().over(Window.partitionBy("shard", "part").orderBy(key, "h"))
+    within = F.row_number().over(Window.partitionBy("shard", "part").orderBy(key, "h", "own"))
     out = rows.withColumn("n", within).join(F.broadcast(before), ["shard", "part"])
     return out.select(key, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("n") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
