@@ -68,7 +68,10 @@ def test_against_brute_force(spark):
     docs += [docs[5], docs[-4], (None, docs[30][1])]
     want = brute(docs, items)
     assert run(spark, docs, items) == want
-    assert run(spark, docs, items, block_bytes=200) == want  # several blocks
+    assert run(spark, docs, items, shard_words=20, stretch=16) == want  # many shards, split stretches and passages
+    single = [*items, (6, "été"), (8, "X1."), (9, "été")]
+    assert run(spark, docs, single) == brute(docs, single)
+    assert run(spark, docs, single, shard_words=20, stretch=13) == brute(docs, single)
 
 
 def test_empty_tables_and_no_patterns(spark):
