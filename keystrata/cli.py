@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import cmd
+import os
 import sys
 import time
 
@@ -65,6 +67,19 @@ class Shell(cmd.Cmd):
     completedefault = completenames
 
 
+def remember(path: str) -> bool:
+    """Take up the lines of earlier shells from a file, and add this one's when it ends; False without readline."""
+    try:
+        import readline
+    except ImportError:
+        return False
+    if os.path.exists(path):
+        readline.read_history_file(path)
+    readline.set_history_length(1000)
+    atexit.register(readline.write_history_file, path)
+    return True
+
+
 def main() -> None:
     import argparse
 
@@ -80,4 +95,5 @@ def main() -> None:
     if args.text:
         shell.run(args.text)
     else:
+        remember(os.path.expanduser("~/.keystrata_history"))
         shell.cmdloop()

@@ -12,6 +12,7 @@ from ..plans.predicates import key
 from ..plans.statements import parse
 from ..session import KeyedSession
 from ..sources.files import scratch
+from ..sources.provider import register
 
 ORDERS = "(o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string, PRIMARY KEY (o_orderkey)) MAPPED BY (orders_store, COLS=[o_custkey=a.cust, o_orderstatus=a.status, o_totalprice=b.price, o_orderpriority=b.priority])"
 EVENTS = "(user_id bigint, event_id bigint, event_type string, value double, PRIMARY KEY (user_id, event_id)) MAPPED BY (events_store, COLS=[event_type=e.kind, value=e.value])"
@@ -95,6 +96,13 @@ def sql_key_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.sql("SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders_k WHERE o_orderkey BETWEEN 100 AND 400 AND o_totalprice > 1000 GROUP BY o_orderstatus")
 
 
+def provider_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = shared(spark, sf_dir, "orders")
+    register(s.spark)
+    rows = s.spark.read.format("keystrata").option("table", "orders_k").load(s.storage.root)
+    return rows.where("o_orderkey > 100").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
 def sql_composite_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared(spark, sf_dir, "events").sql(f"SELECT {COLUMNS['events']} FROM events_k WHERE user_id IN (5, 11) AND event_id > 20")
 
@@ -279,7 +287,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         key_point_get, key_multi_get, key_range_scan, key_only_projection, composite_key_prefix, composite_key_tuple_or, dead_predicate,
-        key_range_not, sql_key_point_get, sql_key_range_scan, sql_composite_prefix, sql_keyed_self_join, keyed_join, create_insert_select, insert_values, upsert_overwrite, load_csv, load_cell_merge, load_nulls,
+        key_range_not, sql_key_point_get, sql_key_range_scan, provider_scan, sql_composite_prefix, sql_keyed_self_join, keyed_join, create_insert_select, insert_values, upsert_overwrite, load_csv, load_cell_merge, load_nulls,
         load_presplit_regions, alter_add, alter_drop, drop_and_map_again, describe_table, show_tables, stringformat_roundtrip,
         two_tables_one_store, cross_table_insert, split_regions, agg_key_prefix_no_shuffle,
     )
@@ -295,6 +303,7 @@ ORACLES = {
     "dead_predicate": "SELECT o_orderkey FROM orders WHERE o_orderkey < 8 AND o_orderkey > 8",
     "sql_key_point_get": f"SELECT {_O} FROM orders WHERE o_orderkey = 100",
     "sql_key_range_scan": "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderkey BETWEEN 100 AND 400 AND o_totalprice > 1000 GROUP BY o_orderstatus",
+    "provider_scan": "SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderkey > 100 GROUP BY o_orderpriority",
     "sql_composite_prefix": f"SELECT {COLUMNS['events']} FROM events WHERE user_id IN (5, 11) AND event_id > 20",
     "sql_keyed_self_join": "SELECT a.o_orderkey AS k, count(*) AS n FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey WHERE a.o_orderkey < 60 AND b.o_orderkey >= 60 GROUP BY a.o_orderkey",
     "split_regions": f"SELECT {_O} FROM orders",

@@ -1,6 +1,9 @@
 """Statements and writes end to end, errors, and the plans that pruning and layouts lead to."""
 
 import io
+import os
+import subprocess
+import sys
 
 import pytest
 
@@ -8,6 +11,7 @@ from keystrata.cli import Shell
 from keystrata.plans.predicates import key
 from keystrata.plans.statements import parse
 from keystrata.session import PRUNE, KeyedSession
+from keystrata.sources.provider import register
 
 
 @pytest.fixture()
@@ -285,3 +289,29 @@ def test_large_regions_are_split(s, kind):
     assert s.sql("SELECT count(*), count(DISTINCT k) FROM big").first()[:] == (3000, 3000)
     s.insert("big", s.spark.range(1).selectExpr("cast(7 as int)" if kind == "int" else "'00007'", "-5"))
     assert s.sql("SELECT v FROM big WHERE k = " + ("7" if kind == "int" else "'00007'")).first()[0] == -5
+
+
+def test_provider(s, spark):
+    root = s.storage.root
+    s.create(parse(T), [(10,), (20,)])
+    s.sql("INSERT INTO TABLE t SELECT CAST(id AS int), concat('s', id), id / 2, IF(id % 3 = 0, NULL, 'w') FROM range(30)")
+    register(s.spark)
+    read = lambda: s.spark.read.format("keystrata").option("table", "t").load(root)
+    assert read().dtypes == s.table("t").dtypes
+    assert rows(read()) == rows(s.table("t"))
+    for where in ("a >= 20", "a = 5", "a IN (1, 25, 99)", "a < 3 AND v > 0.4", "NOT (a > 4)", "a = 400", "w IS NULL", "s LIKE 's1%'"):
+        assert rows(read().where(where)) == rows(s.table("t").where(where)), where
+    assert read().where("a >= 20").rdd.getNumPartitions() == 1 and read().rdd.getNumPartitions() == 3
+    s.sql("INSERT INTO TABLE t VALUES (99, 'z', 1.0, 'new')")
+    assert read().count() == 31  # another query sees what has been written since
+    with pytest.raises(Exception, match="gone"):
+        s.spark.read.format("keystrata").option("table", "gone").load(root).count()
+
+
+def test_shell_keeps_its_lines(tmp_path):
+    path = str(tmp_path / "history")
+    code = f"import readline; from keystrata.cli import remember; assert remember({path!r}); readline.add_history('SHOW TABLES;')"
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for n in (1, 2):
+        subprocess.run([sys.executable, "-c", code], check=True, cwd=home)
+        assert open(path).read().count("SHOW TABLES;") == n
