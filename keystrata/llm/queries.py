@@ -38,7 +38,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"), divisor=5, held=0))
+    found = quality.rate(docs, table(spark, sf_dir, "labels"), divisor=5, held=0)
     return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 

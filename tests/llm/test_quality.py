@@ -67,3 +67,37 @@ def test_query(spark, sf_dir):
     rows = op4_quality(spark, sf_dir).collect()
     assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+
+
+def test_all_pairs_count():
+    """The weights are those of the mean logistic loss over every pair of a good and a poor row, written out."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(300, 4))
+    y = (x @ np.array([1.5, -1.0, 0.5, 0.0]) + r.normal(scale=0.5, size=300) > -0.7).astype(np.int64)
+    model = quality.learn(x, y)
+    z = np.clip((x - x.mean(axis=0)) / x.std(axis=0), -8, 8)
+    d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, 4)
+    lost = 1 / (1 + np.exp(d @ model.weights))
+    assert np.abs(lost @ d / len(d) - quality.RIDGE * model.weights).max() < 1e-5
+    s = model.strength(x)
+    assert abs(model.threshold - np.quantile(s, (y == 0).mean())) < 1e-9
+
+
+def test_every_labelled_row_teaches(spark, monkeypatch):
+    """More labelled documents than any bound there was: the model is that of all of them in one place."""
+    docs, labels = corpus(300)
+    more = [(1000 + i, f"{'Fine' if i % 3 else 'POOR!!'} {i} text{'.' * (i % 7)} {'|' * (i % 5)}", "extra") for i in range(26_500)]
+    docs, labels = docs + more, labels + [(i, int(t.startswith("Fine"))) for i, t, _ in more]
+    d, la = spark.createDataFrame(docs, DOCS).repartition(5), spark.createDataFrame(labels, LABELS)
+    monkeypatch.setattr(quality, "HELD_STRENGTHS", 20)
+    model = quality.fit(d, la)
+    truth = {i: t for i, t in labels if zlib.crc32(str(i).encode()) % 5 != 0}
+    assert len(truth) > 21_000
+    x = quality.measures(words.Splitter(words.WHITE, fold=False).split(pa.array([t for i, t, _ in docs if i in truth])))
+    y = np.array([truth[i] for i, *_ in docs if i in truth])
+    assert np.allclose(model.centre, x.mean(axis=0)) and np.allclose(model.spread, np.maximum(x.std(axis=0), 1e-6))
+    want = quality.learn(x, y)
+    assert np.allclose(model.strength(x), want.strength(x), atol=1e-3)
+    assert abs(model.threshold - np.quantile(model.strength(x), (y == 0).mean())) < 1e-9 and abs(model.scale - want.scale) < 1e-3 * want.scale
+    both = {r.doc_id: r.score for r in quality.rate(d, la).collect()}
+    assert np.allclose([both[i] for i, *_ in docs[:400]], model.score(quality.measures(words.Splitter(words.WHITE, fold=False).split(pa.array([t for _, t, _ in docs[:400]])))), atol=1e-4)
