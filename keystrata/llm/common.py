@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import pickle
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -96,8 +98,6 @@ def erase(spark: SparkSession, *paths: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished phases, whose plans nothing refers to now."""
-    import gc
-
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -135,6 +135,31 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             yield batch.slice(start)
 
 
+def hand_back() -> None:
+    """Give the system the memory that this process has freed and still holds."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def lean(*steps: Callable) -> Callable:
+    """One Python step of steps over batches, one after the other in the same worker. Workers live on for later tasks,
+    idle ones too, so each hands back what its task has taken."""
+
+    def run(batches):
+        try:
+            for step in steps:
+                batches = step(batches)
+            yield from batches
+        finally:
+            del batches
+            hand_back()
+
+    return run
+
+
 def arrow_of(frame_schema) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import carried, chunks, received, send, settle, prepare
+from .common import carried, chunks, lean, received, send, settle, prepare
 from .fmindex import FMIndex
 
 WINDOW = 13
@@ -159,7 +159,7 @@ def candidates(docs: DataFrame, text: str, given: DataFrame, window: int, most:
             yield pa.RecordBatch.from_arrays([new.get(f.name, batch.column(i)) for i, f in enumerate(batch.schema)], batch.schema.names)
 
     rows = docs.withColumn("n_words", F.lit(0).cast("long")).withColumn("runs", F.from_json(F.lit("null"), "array<struct<start: int, words: array<long>>>"))
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(lean(run), rows.schema)
 
 
 class Shard:
@@ -273,9 +273,9 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str
     left = runs.select(F.pmod(F.xxhash64("own", "start"), F.lit(shards)).alias("shard"), F.lit(0).alias("n"), "own", "start", "words")
     right = given.select("n", "words").distinct().select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), "n", F.lit(0).cast("long").alias("own"), F.lit(0).alias("start"), "words")
     dealt = left.unionByName(right).repartition(min(shards, MOST_TASKS), "shard").sortWithinPartitions("shard", "n")
-    found = settle(dealt.mapInArrow(search_shards, FOUND))
+    found = settle(dealt.mapInArrow(lean(search_shards), FOUND))
     by_row = found.groupBy("own").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("windows")).alias("windows"))
-    hits = by_row.mapInArrow(merge_spans, FOUND).select("own", "spans")
+    hits = by_row.mapInArrow(lean(merge_spans), FOUND).select("own", "spans")
     named = found.select("own", F.explode("windows").alias("win")).join(window_items(given), "win").groupBy("own").agg(F.collect_set("item_id").alias("items"))
     none = [F.lit(0).cast("long").alias("n_hit"), F.expr("cast(array() as array<struct<start: int, end: int>>)").alias("spans"), F.expr("cast(array() as array<long>)").alias("items")]
     n_hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"]), F.lit(0).cast("long"))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import chunks, erase, release, row_key, prepare, store
+from .common import chunks, erase, lean, release, row_key, prepare, store
 from .components import components
 
 SHINGLE, SIMILAR = 5, (75, 100)
@@ -98,7 +98,7 @@ def sketch(docs: DataFrame, k: int) -> np.ndarray:
 
     schema = "segment int, counts binary"
     out = np.zeros((segments, 1 << SEGMENT_BITS), dtype=np.uint16)
-    for s, c in docs.select("text").mapInArrow(count, schema).repartition(min(segments, 64), "segment").mapInArrow(add, schema).collect():  # one row a segment
+    for s, c in docs.select("text").mapInArrow(lean(count), schema).repartition(min(segments, 64), "segment").mapInArrow(lean(add), schema).collect():  # one row a segment
         out[s] = np.frombuffer(c, dtype=np.uint16)
     return out.reshape(-1)
 
@@ -122,7 +122,7 @@ def signatures(docs: DataFrame, shared: Broadcast, k: int, similar) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(n, pa.int32()), pa.array(digests, pa.int64()), lists], ["doc_id", "row_key", "n", "class", "first"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "row_key", "text").mapInArrow(run, f"doc_id {kind}, row_key long, n int, class long, first array<long>")
+    return docs.select("doc_id", "row_key", "text").mapInArrow(lean(run), f"doc_id {kind}, row_key long, n int, class long, first array<long>")
 
 
 class Group:
@@ -182,7 +182,7 @@ def verify(members: DataFrame, queries: DataFrame, texts: DataFrame, k: int, sim
     asked = queries.join(salts, ["group", "part"]).select("group", "part", F.pmod(F.xxhash64("class"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("query"), "same", "class")
     held = members.join(salts, ["group", "part"]).select("group", "part", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("query"), F.lit(False).alias("same"), "class")
     rows = held.union(asked).join(texts, "class").select("group", "part", "salt", "query", "same", "class", "text")
-    return rows.repartition("group", "part", "salt").sortWithinPartitions("group", "part", "salt", "query").mapInArrow(_open_groups(k, similar), "a long, b long")
+    return rows.repartition("group", "part", "salt").sortWithinPartitions("group", "part", "salt", "query").mapInArrow(lean(_open_groups(k, similar)), "a long, b long")
 
 
 def _open_groups(k: int, similar):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import carried, chunks, erase, release, row_key, prepare, settle, store
+from .common import carried, chunks, erase, lean, release, row_key, prepare, settle, store
 
 WINDOW, PHRASE = 35, 12
 SPANS = "array<struct<start: int, end: int>>"
@@ -96,6 +96,12 @@ def _recurring(spark, path: str) -> DataFrame:
 
 def locate(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
     """Columns keep (with the text), n_words and spans (word positions covered by recurring windows)."""
+    schema = docs.select(*keep).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.from_json(F.lit("[]"), SPANS)}).schema
+    return found_by_shards(docs, window, phrase, keep).mapInArrow(lean(_mark([*keep])), schema)
+
+
+def found_by_shards(docs: DataFrame, window: int, phrase: int, keep: tuple[str, ...]) -> DataFrame:
+    """Columns keep (with the text) and found: for each shard that has found something, its spans."""
     prepare(docs)
     spark = docs.sparkSession
     keyed = docs.select(*keep, row_key("doc_id", "text").alias("row_key"))
@@ -118,9 +124,9 @@ def locate(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, keep: tu
             yield _rows(batch, *counted(text[chosen], hashes))
 
     schema = "hash long, row_key long, n int"
-    first = store(keyed.select("row_key", "text").mapInArrow(find_anchors, schema))
+    first = store(keyed.select("row_key", "text").mapInArrow(lean(find_anchors), schema))
     candidates = keyed.select("row_key", "text").join(_recurring(spark, first), "row_key")
-    second = store(candidates.select("row_key", "text", "hashes").mapInArrow(find_windows, schema))
+    second = store(candidates.select("row_key", "text", "hashes").mapInArrow(lean(find_windows), schema))
     del candidates
     erase(spark, first)
     release(spark)
@@ -137,13 +143,12 @@ def locate(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, keep: tu
     dealt = to.join(own, "row_key", "left").select("row_key", "to", "hashes", F.col("shard").alias("home"), F.col("tasks").alias("home_tasks"))
     # equal rows have one key; the scan's partition tells them apart, so they don't all go to one task
     texts = docs.select("text", row_key("doc_id", "text").alias("row_key"), F.spark_partition_id().alias("scan"))
-    sent = texts.join(dealt, "row_key").select("text", "row_key", "scan", "to", "hashes", "home", "home_tasks").mapInArrow(_deal(window), "shard int, task int, row_key long, text string")
-    hits = sent.repartition("shard", "task").sortWithinPartitions("shard", "task", F.col("row_key").isNotNull()).mapInArrow(_locate(window, phrase), f"row_key long, found {SPANS}")
+    sent = texts.join(dealt, "row_key").select("text", "row_key", "scan", "to", "hashes", "home", "home_tasks").mapInArrow(lean(_deal(window)), "shard int, task int, row_key long, text string")
+    hits = sent.repartition("shard", "task").sortWithinPartitions("shard", "task", F.col("row_key").isNotNull()).mapInArrow(lean(_locate(window, phrase)), f"row_key long, found {SPANS}")
     third = store(hits.distinct())
     release(spark)
     of_row = spark.read.parquet(third).groupBy("row_key").agg(F.flatten(F.collect_list("found")).alias("found"))
-    located = keyed.join(of_row, "row_key", "left").drop("row_key")
-    return located.mapInArrow(_mark([*keep]), docs.select(*keep).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.from_json(F.lit("[]"), SPANS)}).schema)
+    return keyed.join(of_row, "row_key", "left").drop("row_key")
 
 
 def member(lists: pa.Array, text: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -376,4 +381,6 @@ def clean(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     words stay as they are. n_chars follows the text; all other columns stay, whatever they are called."""
     prepare(docs)
     held, back = carried(docs)
-    return words.cut_spans(locate(held, window, keep=tuple(held.columns)), words.WHITE, held.schema).select(*back)
+    found = found_by_shards(held, window, PHRASE, tuple(held.columns))
+    cut = lean(_mark(held.columns), words.cutting(words.WHITE, held.columns))  # one worker a task, not two
+    return found.mapInArrow(cut, held.schema).select(*back)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import carried, chunks, received, remainder, send, settle, prepare
+from .common import carried, chunks, lean, received, remainder, send, settle, prepare
 
 TRAIN_ROWS = 20_000
 #: Weight of the prior as a share of all counts; least z-score and toxic documents of a significant part.
@@ -148,7 +148,7 @@ def _counts(rows: DataFrame) -> DataFrame:
             both = np.diff(np.append(heads, len(part)))
             yield pa.RecordBatch.from_arrays([pa.array(part[heads].view(np.int64)), pa.array(toxic, pa.int64()), pa.array(both - toxic, pa.int64())], ["part", "toxic", "other"])
 
-    return rows.mapInArrow(run, "part long, toxic long, other long").groupBy("part").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    return rows.mapInArrow(lean(run), "part long, toxic long, other long").groupBy("part").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
 def _rate(share: np.ndarray, scores: np.ndarray, loss: float) -> float:
@@ -242,7 +242,7 @@ def _evidence(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     held = rows.select(*keep).schema
     schema = held.simpleString()[7:-1].replace(":", ": ")
-    return rows.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{schema}, best double, sum double, top double, n long, segments array<struct<start: int, end: int, score: double>>, score double")
+    return rows.select(*dict.fromkeys([*keep, "text"])).mapInArrow(lean(run), f"{schema}, best double, sum double, top double, n long, segments array<struct<start: int, end: int, score: double>>, score double")
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

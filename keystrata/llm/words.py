@@ -12,6 +12,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from .common import lean
+
 U = np.uint64
 
 
@@ -159,7 +161,11 @@ def cut_spans(found: DataFrame, separators: bytes, schema: StructType) -> DataFr
     """Rows of the given schema from rows that also have spans (of words, in order, apart). Texts
     that lose all their words go as rows; rows without spans stay as they are; n_chars, where there
     is such a column, follows the text."""
-    columns = schema.names
+    return found.mapInArrow(lean(cutting(separators, schema.names)), schema)
+
+
+def cutting(separators: bytes, columns: list[str]):
+    """The step of cut_spans over batches."""
 
     def run(batches):
         splitter = Splitter(separators, fold=False)
@@ -188,4 +194,4 @@ def cut_spans(found: DataFrame, separators: bytes, schema: StructType) -> DataFr
             out = pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in columns], columns)
             yield out.filter(pa.array(keep)) if not keep.all() else out
 
-    return found.mapInArrow(run, schema)
+    return run

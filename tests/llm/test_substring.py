@@ -107,3 +107,42 @@ def test_query(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = sorted(map(tuple, op9_substring_dedup(spark, sf_dir).collect()), key=repr)
     assert got == brute(docs) and any(x[2] for x in got)
+
+
+def test_cleaning_marks_and_cuts_in_one_python_step(spark):
+    """Two steps in one stage would keep twice as many workers, with their memory, beside each executor."""
+    p = " ".join(f"p{i}" for i in range(50))
+    d = spark.createDataFrame([(1, f"a {p}", 9), (2, f"{p} b", 9)], "doc_id long, text string, n_chars long")
+    out = substring.clean(d)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {1: ("a ", 2), 2: (" b", 2)}
+
+
+def test_a_step_hands_back_what_its_task_took():
+    """Freed small arrays stay in the heap of a worker, unless they are handed back when its task ends."""
+    import os
+    import re
+    import subprocess
+    import sys
+
+    code = """if True:
+        import re, sys
+        import numpy as np
+        from keystrata.llm import common
+        def held():
+            return int(re.search(r"VmRSS:\\s+(\\d+)", open("/proc/self/status").read())[1]) >> 10
+        def step(batches):
+            for b in batches:
+                some = [np.ones(8000) for _ in range(3000)]
+                keep.append(np.ones(8000))
+                del some
+                yield b
+        keep = []
+        before = held()
+        assert list(common.lean(step, lambda x: x)(iter([1, 2]))) == [1, 2]
+        print(held() - before)
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root, timeout=60)
+    assert re.fullmatch(r"-?\d+\s", out.stdout), out.stderr
+    assert int(out.stdout) < 40
