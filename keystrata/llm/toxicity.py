@@ -1,6 +1,6 @@
 """Toxicity by maximum-scoring segments.
 
-Training counts, over at most ``TRAIN_ROWS`` labelled documents (those of the smallest hash of their id),
+Training counts, over all labelled documents outside the held-out fold,
 in how many toxic and other documents each word, word beginning and word end occurs. Their log-odds
 under a Dirichlet prior in proportion to overall frequency, with a z-score, decide which are significant.
 A token scores the largest log-odds of its parts less ``z``-scaled doubt, any other token a small loss.
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from . import words
 from .common import carried, chunks, lean, received, remainder, send, settle, prepare
 
-TRAIN_ROWS = 20_000
 #: Weight of the prior as a share of all counts; least z-score and toxic documents of a significant part.
 PRIOR, LEAST_Z, LEAST_DOCUMENTS = 0.05, 3.0, 4
 DOUBT = 1.0
@@ -117,15 +116,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(evidence @ np.array([a, b]) + c, -35, 35)))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, divisor: int, held: int, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(text, label) of at most so many labelled documents outside the held-out fold; of several texts of one id
-    the one of the smallest hash."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, divisor: int, held: int) -> DataFrame:
+    """(text, label) of all labelled documents outside the held-out fold; of several texts of one id the one of the
+    smallest hash. Texts are told apart by 64-bit hashes, and only the last join moves them."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (remainder("doc_id", divisor) != held))
-    chosen = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    rows_ = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    one = rows_.select("doc_id", "text_hash").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"), F.max("label").alias("label"))
-    found = rows_.join(F.broadcast(one), ["doc_id", "text_hash"])  # at most TRAIN_ROWS small rows
-    return found.groupBy("text").agg(F.max("label").alias("label"))  # copies teach once
+    chosen = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    one = rows.select("doc_id", "text_hash").join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"), F.max("label").alias("label"))
+    once = one.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label"))  # copies teach once
+    found = rows.join(once, ["doc_id", "text_hash"])
+    return found.groupBy("doc_id", "text_hash").agg(F.any_value("text").alias("text"), F.max("label").alias("label")).select("text", "label")
 
 
 def _counts(rows: DataFrame) -> DataFrame:
@@ -168,30 +168,41 @@ def _rate(share: np.ndarray, scores: np.ndarray, loss: float) -> float:
 
 
 def fit_constant(background: np.ndarray, rate: float) -> float:
-    """K, from the best segment's score (0: none) and the number of tokens of each background text: texts of n
+    """K, from the best segment's score (0: none) and the number of tokens of each background text."""
+    score, n = background[:, 0], background[:, 1]
+    return constant_of((score > 0).sum(), (n * np.exp(-rate * score)).sum())
+
+
+def constant_of(hits: float, exposure: float) -> float:
+    """K, from the number of background texts with a segment and the sum of n exp(-rate S) over all: texts of n
     tokens stay below a score S with chance exp(-K n exp(-rate S)), which is likeliest at this K. One more text, of
     ten tokens and a segment that chance has made, stands for what is expected without a background."""
-    score, n = background[:, 0], background[:, 1]
-    return float((1 + (score > 0).sum()) / (10 + (n * np.exp(-rate * score)).sum()))
+    return float((1 + hits) / (10 + exposure))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:
-    """Weights and intercept by damped Newton steps."""
-    x = np.column_stack((x, np.ones(len(x))))
-    w, penalty = np.zeros(x.shape[1]), np.append(np.full(x.shape[1] - 1, ridge), 1e-6) * len(y)
+def fit_logistic(rows: DataFrame, x: list[str], y: str, n: int, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:
+    """Weights of columns x and intercept by damped Newton steps over all n rows, of which each sends only sums."""
+    size = len(x) + 1
+    w, penalty = np.zeros(size), np.append(np.full(size - 1, ridge), 1e-6)
+    columns = [*(F.col(c) for c in x), F.lit(1.0)]
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), x.T @ (p - y) + penalty * w)
+        z = sum((c * float(v) for c, v in zip(columns[1:], w[1:])), columns[0] * float(w[0]))
+        p = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(35.0)), F.lit(-35.0))))
+        rated = rows.select(*columns[:-1], p.alias("p"), (p - F.col(y)).alias("off"))
+        gradient = [F.sum(F.col("off") * c) for c in columns]
+        second = [F.sum(F.col("p") * (1 - F.col("p")) * columns[i] * columns[j]) for i in range(size) for j in range(size)]
+        sums = np.array(rated.agg(*gradient, *second).first(), dtype=float) / n
+        step = np.linalg.solve(sums[size:].reshape(size, size) + np.diag(penalty + 1e-9 / n), sums[:size] + penalty * w)
         w -= np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, divisor: int = 4, held: int = 2, rows: int = TRAIN_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, divisor: int = 4, held: int = 2) -> Model:
     prepare(docs)
-    train = settle(training_rows(docs, labels, "toxic", divisor, held, rows))
-    counts = _counts(train)
+    train = settle(training_rows(docs, labels, "toxic", divisor, held))
+    counts = settle(_counts(train))
     model = Model()
     totals = counts.agg(F.sum("toxic"), F.sum("other")).first()
     toxic, other = float(totals[0] or 0), float(totals[1] or 0)
@@ -201,22 +212,22 @@ def fit(docs: DataFrame, labels: DataFrame, divisor: int = 4, held: int = 2, row
         odds = F.log(a / (toxic + weight - a)) - F.log(b / (other + weight - b))
         doubt = F.sqrt(1 / a + 1 / b)
         found = counts.select("part", "other", odds.alias("odds"), doubt.alias("doubt"), "toxic").where(f"toxic >= {LEAST_DOCUMENTS} and odds >= {LEAST_Z} * doubt")
-        found = found.toPandas()  # parts of LEAST_DOCUMENTS toxic documents or more, of the TRAIN_ROWS that teach
+        found = found.toPandas()  # the significant parts, which every task of the scan gets
         part = found["part"].to_numpy().astype(np.int64).view(words.U)
         order = np.argsort(part)
         model.parts, model.scores = part[order], np.maximum((found["odds"] - DOUBT * found["doubt"]).to_numpy()[order], 0.1)
         share = (found["other"].to_numpy()[order] + 0.1) / other
         model.loss = float(max(0.05, 2 * (share * model.scores).sum()))  # the background drifts down
         model.rate = _rate(share, model.scores, model.loss)
-    background = [(r.top, r.n) for r in _evidence(train.where("label = 0"), model, ["label"]).select("top", "n").collect()]  # TRAIN_ROWS at most
-    model.constant = fit_constant(np.array(background).reshape(-1, 2), model.rate)
-    evidence = np.array([(r.best, r.sum, r.label) for r in _evidence(train, model, ["label"]).collect()]).reshape(-1, 3)  # TRAIN_ROWS at most
-    y = evidence[:, 2]
-    if len(y) and 0 < y.sum() < len(y):
-        w = fit_logistic(evidence[:, :2], y)
-        model.weights = tuple(float(v) for v in w)
-    elif len(y):
-        model.weights = (0.0, 0.0, 20.0 if y.mean() else -20.0)
+    background = _evidence(train.where("label = 0"), model, ["label"])
+    hits, exposure = background.agg(F.sum((F.col("top") > 0).cast("long")), F.sum(F.col("n") * F.exp(-model.rate * F.col("top")))).first()
+    model.constant = constant_of(hits or 0, exposure or 0.0)
+    evidence = settle(_evidence(train, model, ["label"]).select("best", "sum", "label"))
+    n, bad = evidence.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if 0 < bad < n:
+        model.weights = tuple(float(v) for v in fit_logistic(evidence, ["best", "sum"], "label", n))
+    elif n:
+        model.weights = (0.0, 0.0, 20.0 if bad else -20.0)
     return model
 
 

@@ -140,3 +140,26 @@ def test_texts_of_one_id_teach_once(spark):
     d = spark.createDataFrame([(1, f"text number {i}") for i in range(50)] + [(2, "other")], "doc_id long, text string")
     la = spark.createDataFrame([(1, 1), (2, 0)], LABELS)
     assert toxicity.training_rows(d, la, "toxic", 4, 9).count() == 2
+
+
+def test_every_labelled_row_teaches(spark):
+    """More labelled documents than any bound there was: counts, constant and logistic curve are those of all of them."""
+    docs, labels = corpus(400)
+    more = [(1000 + i, f"w{i % 400} w{i % 397} w{i} {'zork' if i % 50 == 0 else 'calm'}", "extra") for i in range(28_000)]
+    docs, labels = docs + more, labels + [(i, int("zork" in t)) for i, t, _ in more]
+    d, la = spark.createDataFrame(docs, DOCS).repartition(5), spark.createDataFrame(labels, LABELS)
+    truth = {i: t for i, t in labels if zlib.crc32(str(i).encode()) % 4 != 2}
+    texts: dict[str, int] = {}
+    for i, text, _ in docs:
+        if i in truth:
+            texts[text] = max(truth[i], texts.get(text, 0))
+    assert len(texts) > 21_000
+    train = toxicity.training_rows(d, la, "toxic", 4, 2)
+    assert {r.text: r.label for r in train.collect()} == texts
+    model = toxicity.fit(d, la)
+    scored = toxicity._evidence(train, model, ["label"]).collect()
+    background = np.array([(r.top, r.n) for r in scored if not r.label])
+    assert abs(toxicity.fit_constant(background, model.rate) - model.constant) < 1e-9
+    x, y = np.array([(r.best, r.sum, 1.0) for r in scored]), np.array([r.label for r in scored])
+    off = 1 / (1 + np.exp(-np.clip(x @ np.array(model.weights), -35, 35))) - y
+    assert np.abs(off @ x / len(y) + np.array([1e-3, 1e-3, 1e-6]) * model.weights).max() < 1e-7  # no better weights
