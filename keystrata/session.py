@@ -34,6 +34,8 @@ class KeyedSession:
         self.spark = spark.newSession()
         self.spark.conf.set("spark.sql.caseSensitive", "true")
         self.spark.conf.set("spark.sql.ansi.enabled", "false")
+        # folders of many regions are listed in a few tasks, not in one each
+        self.spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(max(256, 4 * self.spark.sparkContext.defaultParallelism)))
         self.catalog, self.storage = Catalog(self.spark, root), Storage(self.spark, root)
         self._seen: dict[str, tuple] = {}  # what each view was made from
         self._read_at = 0.0

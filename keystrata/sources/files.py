@@ -34,7 +34,14 @@ class Files:
 
     def names(self, path: str) -> list[str]:
         place, fs = self._at(path)
-        return sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
+        if not fs.exists(place):
+            return []
+        held = self.jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(fs.listStatus(place))
+        if not len(held):
+            return []
+        folder = f"{held[0].getParent().toString().rstrip('/')}/"
+        text = self.jvm.org.apache.commons.lang3.ArrayUtils.toString(held)  # {path,path,…}: one call for all of them
+        return sorted(text[1:-1].removeprefix(folder).split(f",{folder}"))
 
     def ages(self, path: str) -> list[tuple[str, float]]:
         """(name, seconds since the epoch of its last change) of what is in a folder, by name."""

@@ -13,8 +13,10 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +27,7 @@ from ..functions.types import spark_type
 from .catalog import Table, cell_name
 from .files import Files
 
-SEQ = "_seq"
+SEQ, OLD = "_seq", "_old"
 #: Split keys that a nested comparison takes; with more, arrays of split keys are searched.
 NESTED = 64
 
@@ -102,19 +104,17 @@ class Storage:
 
     def region(self, splits: Sequence[Sequence], keys: Sequence[SparkColumn], kinds: Sequence[str]) -> SparkColumn:
         """Number of the region that a key lies in: how many split keys are at or below it. A few split keys are
-        compared by halves. Many are held as blocks of an array, so that the expression doesn't grow with them:
-        a key is compared with the blocks' first split keys and then with those of one block."""
+        compared by halves in code of their own. Many are held as an array, so that the expression doesn't grow with
+        them, and are searched by halves too."""
         if len(splits) > NESTED:
-            size = int(len(splits) ** 0.5) + 1
             names = [f"k{i}" for i in range(len(kinds))]
             kind = ", ".join(f"{n}: {spark_type(k).simpleString()}" for n, k in zip(names, kinds))
             rows = [dict(zip(names, [*s, *[None] * len(kinds)])) for s in splits]  # a missing column comes before all keys
-            held = lambda value, of: F.from_json(F.lit(json.dumps(value)), of)  # noqa: E731  folded to a constant
+            held = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>")  # folded to a constant
             own = F.struct(*(k.cast(spark_type(t)).alias(n) for k, t, n in zip(keys, kinds, names)))
-            below = lambda some: F.size(F.filter(some, lambda split: split <= own))
-            block = below(held(rows[::size], f"array<struct<{kind}>>"))
-            within = F.element_at(held([rows[i : i + size] for i in range(0, len(rows), size)], f"array<array<struct<{kind}>>>"), F.greatest(block, F.lit(1)))
-            return F.when(block == 0, F.lit(0)).otherwise((block - 1) * size + below(within))
+            steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(splits).bit_length()))))
+            # beyond the last split key get() is NULL, and the step isn't taken
+            return F.aggregate(steps, F.lit(0), lambda below, step: F.when(F.get(held, below + step - 1) <= own, below + step).otherwise(below))
 
         def reached(split: Sequence) -> SparkColumn:
             parts = []
@@ -196,43 +196,72 @@ class Storage:
 
     def split(self, table: Table, max_bytes: int) -> list[tuple]:
         """Cut each region of more than max_bytes at quantiles of the key's leading column, as far as its values
-        allow. Only such regions are rewritten; returns the new split keys."""
+        allow. Only such regions are rewritten; returns the new split keys.
+
+        Their rows are staged once in key order, so a row's place says which quantiles it lies between and no row
+        is compared with all split keys."""
         manifest = self.manifest(table)
         keys = [f"key_{i}" for i in range(len(manifest["keys"]))]
-        added: dict[int, list] = {}
-        for r, place in manifest["regions"].items():
-            size = sum(n for _, n in self.files.sizes(place))
-            if size > max_bytes:
-                wanted = -(-size // max_bytes)
-                cuts = ", ".join(str(i / wanted) for i in range(1, wanted))
-                rows = self._rows(manifest, [int(r)])
-                if manifest["keys"][0] in ("string", "boolean"):  # no numeric quantiles: of the sorted distinct values
-                    ranked = rows.groupBy("key_0").count().orderBy("key_0").select("key_0", F.expr("sum(count) OVER (ORDER BY key_0)").alias("upto"))
-                    total = rows.count()
-                    found = [ranked.where(F.col("upto") >= total * i // wanted).agg(F.min("key_0")).first()[0] for i in range(1, wanted)]
-                else:
-                    found = rows.agg(F.expr(f"percentile_approx(key_0, array({cuts}), 10000)")).first()[0]
-                least = rows.agg(F.min("key_0")).first()[0]
-                added[int(r)] = sorted({v for v in found or [] if v is not None and v > least})
-        added = {r: v for r, v in added.items() if v}
-        fresh = sorted((v,) for values in added.values() for v in values if [v] not in manifest["splits"])
-        if not fresh:
+        sizes = {int(r): sum(n for _, n in self.files.sizes(place)) for r, place in manifest["regions"].items()}
+        wanted = {r: -(-size // max_bytes) for r, size in sizes.items() if size > max_bytes}
+        if not wanted:
             return []
-        before = [tuple(x) for x in manifest["splits"]]
-        splits = sorted({*before, *fresh}, key=lambda x: x)
-        region = self.region([list(x) for x in splits], [F.col(k) for k in keys], manifest["keys"])
-        path = f"{self.place(table)}/data-{uuid.uuid4().hex}"
-        self._rows(manifest, list(added)).withColumn("region", region).repartitionByRange("region", *keys).sortWithinPartitions("region", *keys).write.partitionBy("region").parquet(path)
-        moved = {}
-        for r, place in manifest["regions"].items():
-            if int(r) not in added:  # as many new split keys lie below it as in the regions before it
-                moved[str(int(r) + sum(len(v) for other, v in added.items() if other < int(r)))] = place
-        for name in self.files.names(path):
-            if name.startswith("region="):
-                moved[name.removeprefix("region=")] = f"{path}/{name}"
-        manifest["splits"], manifest["regions"] = [list(x) for x in splits], moved
-        self._commit(table, manifest)
-        return fresh
+        staging, path = (f"{self.place(table)}/{what}-{uuid.uuid4().hex}" for what in ("staging", "data"))
+        try:
+            old = self.region(manifest["splits"], [F.col(k) for k in keys], manifest["keys"])
+            ordered = self._rows(manifest, list(wanted)).withColumn(OLD, old).repartitionByRange(*keys).sortWithinPartitions(*keys)
+            ordered = ordered.withColumn(SEQ, F.monotonically_increasing_id())  # a partition's number and the place in it
+            ordered.write.parquet(staging)
+            ranked = self._ranked(self.spark.read.schema(ordered.schema).parquet(staging), wanted)
+            quantiles: dict[int, list] = {}
+            # the first row behind each quantile, and the region's first row
+            for r, slot, v in ranked.where("_rank = 0 OR _slot > (_rank - 1) * _wanted DIV _total").select(OLD, "_slot", "key_0").collect():
+                quantiles.setdefault(r, []).append((slot, v))
+            added = {r: sorted({v for _, v in found if v == v} - {min(found)[1]}) for r, found in quantiles.items()}  # no cut at NaN
+            added = {r: v for r, v in added.items() if v}
+            if not added:
+                return []
+            grown = sorted(added)
+            upto = list(accumulate((len(added[r]) for r in grown), initial=0))
+            number = lambda r: r + upto[bisect_left(grown, r)]  # noqa: E731  as many new split keys lie below it as in the regions before it
+            # for each slot between two quantiles: the regions of its rows, and of those that equal the next quantile
+            slots = []
+            for r in grown:
+                found = [(slot, v, number(r) + (bisect_right(added[r], v) if v == v else len(added[r]))) for slot, v in sorted(quantiles[r])]
+                slots += [(r, slot, here, after, there) for (slot, _, here), (_, after, there) in zip(found, [*found[1:], (None, None, None)])]
+            kind = spark_type(manifest["keys"][0]).simpleString()
+            slots = self.spark.createDataFrame(slots, f"{OLD} int, _slot bigint, _here int, _next {kind}, _there int")
+            region = F.when(F.col("key_0") == F.col("_next"), F.col("_there")).otherwise(F.col("_here"))
+            cut = ranked.join(F.broadcast(slots), [OLD, "_slot"]).select(*self._held(manifest).names, region.alias("region"))
+            cut.sortWithinPartitions("region", *keys).write.partitionBy("region").parquet(path)
+            fresh = sorted((v,) for values in added.values() for v in values)
+            moved = {str(number(int(r))): place for r, place in manifest["regions"].items() if int(r) not in added}
+            for name in self.files.names(path):
+                if name.startswith("region="):
+                    moved[name.removeprefix("region=")] = f"{path}/{name}"
+            manifest["splits"] = [list(x) for x in sorted([*map(tuple, manifest["splits"]), *fresh])]
+            manifest["regions"] = moved
+            self._commit(table, manifest)
+            return fresh
+        except Exception:
+            self.files.delete(path)
+            raise
+        finally:
+            self.files.delete(staging)
+
+    def _ranked(self, staged: DataFrame, wanted: dict[int, int]) -> DataFrame:
+        """Rows staged in key order with their region's row count and wanted parts, their rank in the region and the
+        part (slot) that the rank falls into. The driver sees one row for each region in a partition."""
+        part = F.shiftright(SEQ, 33).cast("int")
+        runs = staged.groupBy(OLD, part.alias("_part")).agg(F.count("*"), F.min(SEQ)).collect()
+        total: dict[int, int] = {}
+        starts = []
+        for r, p, n, first in sorted(map(tuple, runs)):
+            starts.append((r, p, total.get(r, 0) - first))
+            total[r] = total.get(r, 0) + n
+        starts = self.spark.createDataFrame([(r, p, shift, total[r], wanted[r]) for r, p, shift in starts], f"{OLD} int, _part int, _shift bigint, _total bigint, _wanted bigint")
+        ranked = staged.withColumn("_part", part).join(F.broadcast(starts), [OLD, "_part"]).withColumn("_rank", F.col(SEQ) + F.col("_shift"))
+        return ranked.withColumn("_slot", F.expr("_rank * _wanted DIV _total"))
 
     def compact(self, table: Table, keep_seconds: float = 3600) -> None:
         """Delete the manifests that were replaced more than keep_seconds ago, and all folders that none of

@@ -6,6 +6,7 @@ import subprocess
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 from keystrata.cli import Shell
 from keystrata.plans.predicates import key
@@ -291,6 +292,94 @@ def test_large_regions_are_split(s, kind):
     assert s.sql("SELECT v FROM big WHERE k = " + ("7" if kind == "int" else "'00007'")).first()[0] == -5
 
 
+def jobs_of(spark, action):
+    """How many Spark jobs an action takes, and its result."""
+    name = f"counted-{id(action)}"
+    spark.sparkContext.setJobGroup(name, "")
+    try:
+        found = action()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name)), found
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_cost_of_splitting_does_not_grow_with_the_cuts(s, kind, monkeypatch):
+    key_of = "id" if kind == "bigint" else "lpad(id, 5, '0')"
+    s.create(parse(f"CREATE TABLE few (k {kind}, v int, PRIMARY KEY (k)) MAPPED BY (few_p, COLS=[v=f.v])"))
+    s.create(parse(f"CREATE TABLE many (k {kind}, v int, PRIMARY KEY (k)) MAPPED BY (many_p, COLS=[v=f.v])"))
+    compared, region = [], s.storage.region
+    monkeypatch.setattr(s.storage, "region", lambda splits, *a: compared.append(len(splits)) or region(splits, *a))
+    took = {}
+    for name, parts in (("few", 3), ("many", 80)):
+        s.insert(name, s.spark.range(4000).selectExpr(key_of, "cast(hash(id) as int)"))
+        table = s.catalog.get(name)
+        size = sum(n for place in s.storage.manifest(table)["regions"].values() for _, n in s.storage.files.sizes(place))
+        compared.clear()
+        took[name], added = jobs_of(s.spark, lambda: s.storage.split(table, -(-size // parts)))
+        assert len(added) == parts - 1
+        assert compared == [0]  # rows are compared with the split keys from before, not with the new ones
+        counts = [s.storage.read(table, [int(r)]).count() for r in sorted(s.storage.manifest(table)["regions"], key=int)[:9]]
+        assert max(counts) - min(counts) <= 1
+        assert rows(s.table(name).selectExpr("cast(k as bigint)")) == [(i,) for i in sorted(range(4000), key=lambda i: repr((i,)))]
+    assert took["many"] <= took["few"] + 2
+
+
+def test_splitting_with_repeats_and_nan_in_the_leading_column(s):
+    """Cuts lie between values of the leading column; several regions are cut at once, small ones stay."""
+    s.create(parse("CREATE TABLE d (x double, n int, v string, PRIMARY KEY (x, n)) MAPPED BY (dp, COLS=[v=f.v])"), [(-50.0,), (5.0, 700), (90.0,)])
+    value = "CASE WHEN id % 10 = 0 THEN double('NaN') WHEN id % 3 = 0 THEN double(7) WHEN id % 7 = 0 THEN double(-0.0) ELSE double(id % 40) - 10 END"
+    s.insert("d", s.spark.range(6000).selectExpr(value, "cast(id as int)", "sha2(string(id), 256)"))
+    s.insert("d", s.spark.range(5).selectExpr("double(-60 - id)", "cast(id as int)", "'small'"))
+    before, table = rows(s.table("d").selectExpr("string(x)", "n", "v")), s.catalog.get("d")
+    small = s.storage.manifest(table)["regions"]["0"]
+    added = s.split_regions("d", 20000)
+    held = s.storage.manifest(table)
+    assert len(added) > 5 and len({v for v, in added}) == len(added) and held["regions"]["0"] == small
+    assert rows(s.table("d").selectExpr("string(x)", "n", "v")) == before
+    keys, kinds = [F.col("x"), F.col("n")], held["keys"]
+    for r in held["regions"]:  # each row lies in the region that its key belongs to
+        wrong = s.storage.read(table, [int(r)]).where(s.storage.region(held["splits"], keys, kinds) != int(r))
+        assert wrong.count() == 0, r
+    s.insert("d", s.spark.range(6000).selectExpr(value, "cast(id as int)", "'new'"))
+    assert s.sql("SELECT count(*), count_if(v = 'new') FROM d").first()[:] == (6005, 6000)
+
+
+def test_many_split_keys_are_searched_by_halves(s):
+    splits = [[i * 3, *([i] if i % 4 == 0 else [])] for i in range(1, 1500)]
+    keys = [F.col("a"), F.col("b")]
+    region = s.storage.region(splits, keys, ["int", "int"])
+    found = s.spark.range(0, 4600).selectExpr("cast(id as int) a", "cast(id % 1500 as int) b").select("a", "b", region.alias("r")).collect()
+    for a, b, r in found:
+        assert r == sum(tuple(x) <= (a, b) for x in splits), (a, b)
+    for n in (65, 1500):
+        text = s.storage.region([[i] for i in range(n)], keys[:1], ["int"])._jc.toString()
+        assert "filter" not in text, text[:300]  # no scan of split keys
+
+
+def test_listing_of_many_regions_takes_few_tasks(s):
+    n = 700
+    s.create(parse("CREATE TABLE m (k int, v int, PRIMARY KEY (k)) MAPPED BY (mp, COLS=[v=f.v])"), [(i,) for i in range(1, n)])
+    s.insert("m", s.spark.range(n).selectExpr("cast(id as int)", "1"))
+    tracker = s.spark.sparkContext.statusTracker()
+    s.spark.sparkContext.setJobGroup("listing", "")
+    try:
+        s.refresh("m")
+        stages = [i for j in tracker.getJobIdsForGroup("listing") for i in tracker.getJobInfo(j).stageIds]
+        assert max(tracker.getStageInfo(i).numTasks for i in stages) <= 256
+    finally:
+        s.spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert s.table("m").count() == n
+
+
+def test_names_in_a_folder(s, tmp_path):
+    (tmp_path / "x").mkdir()
+    assert s.storage.files.names(f"file://{tmp_path}/x") == s.storage.files.names(f"file://{tmp_path}/none") == []
+    for n in ("a,b", "c d", "e", "{f}", "é"):
+        (tmp_path / "x" / n).touch()
+    assert s.storage.files.names(f"file://{tmp_path}/x") == sorted(["a,b", "c d", "e", "{f}", "é"])
+
+
 def test_provider(s, spark):
     root = s.storage.root
     s.create(parse(T), [(10,), (20,)])
