@@ -27,7 +27,7 @@ from ..functions.types import spark_type
 from .catalog import Table, cell_name
 from .files import Files
 
-SEQ, OLD = "_seq", "_old"
+SEQ, OLD, WHOLE = "_seq", "_old", "_whole"
 #: Split keys that a nested comparison takes; with more, arrays of split keys are searched.
 NESTED = 64
 
@@ -174,16 +174,17 @@ class Storage:
         touched = [r[0] for r in new.select(region.alias("r")).distinct().collect()]  # one row a region at most
         old = self._rows(manifest, touched).withColumn(SEQ, F.lit(-1).cast("long"))
         both = old.unionByName(new, allowMissingColumns=True)
-        cells = []
+        cells, whole = [], [] if merge_cells else [f"`{n}`" for n in kinds if n in own]
+        if whole:  # all in one, so that an aggregate row holds SEQ once
+            cells.append(F.expr(f"max_by(struct({', '.join(whole)}), {SEQ})").alias(WHOLE))
         for n in kinds:
             if n not in own:
-                best = f"max_by(`{n}`, {SEQ}) FILTER (WHERE {SEQ} = -1)"
+                cells.append(F.expr(f"max_by(`{n}`, {SEQ}) FILTER (WHERE {SEQ} = -1)").alias(n))
             elif merge_cells:
-                best = f"max_by(`{n}`, {SEQ}) FILTER (WHERE `{n}` IS NOT NULL)"
-            else:
-                best = f"max_by(struct(`{n}` AS v), {SEQ}).v"
-            cells.append(F.expr(best).alias(n))
+                cells.append(F.expr(f"max_by(`{n}`, {SEQ}) FILTER (WHERE `{n}` IS NOT NULL)").alias(n))
         merged = both.groupBy(*keys).agg(*cells) if cells else both.select(*keys).distinct()
+        if whole:
+            merged = merged.select(*keys, *(F.col(f"{WHOLE}.`{n}`" if f"`{n}`" in whole else f"`{n}`").alias(n) for n in kinds))
         ordered = merged.withColumn("region", region)
         if manifest["splits"]:
             ordered = ordered.repartitionByRange("region", *keys)
