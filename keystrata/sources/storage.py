@@ -28,7 +28,7 @@ from .catalog import Table, cell_name
 from .files import Files
 
 SEQ, OLD, WHOLE = "_seq", "_old", "_whole"
-#: Split keys that a nested comparison takes; with more, arrays of split keys are searched.
+#: Split keys that a nested comparison takes; with more, an array of split keys is searched.
 NESTED = 64
 
 
